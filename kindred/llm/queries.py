@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from kindred.functions.text import clean_id
 from kindred.llm.copies import collapse, formatting_copies
+from kindred.llm.edits import near_texts
 from kindred.llm.grouping import match_groups
 from kindred.llm.overlap import overlap_report, split_overlaps
+from kindred.llm.personal import personal_passages, redact
 from kindred.llm.roles import assign_roles, linked_groups
+from kindred.llm.similar import nearest_vectors
 from kindred.llm.sql import SQL
 
 
@@ -19,6 +22,12 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = nearest_vectors(_table(spark, sf, "catalog_vectors"), "question_id", "embedding", k=10, least=0.85)
+    pair = found.select(F.least("query", "neighbor").alias("question_id_a"), F.greatest("query", "neighbor").alias("question_id_b"))
+    return pair.distinct()
+
+
 def _pairs_of(spark: SparkSession, sf: str) -> DataFrame:
     pairs = _table(spark, sf, "smoke_pairs").select("row_id", "split", "question1", "question2")
     return split_overlaps(pairs, "row_id", "split", ["question1", "question2"])
@@ -63,8 +72,23 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return match_groups(edges).select(F.col("node").alias("qid"), F.col("group").alias("group_qid"))
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    catalog = _table(spark, sf, "retrieval_catalog").select(F.concat(F.lit("c:"), "question_id").alias("rec"), F.col("question").alias("text"))
+    pairs = _table(spark, sf, "smoke_pairs").select(F.concat(F.lit("p:"), "row_id").alias("rec"), F.col("question1").alias("text"))
+    return near_texts(catalog.unionByName(pairs)).select(F.col("a").alias("rec_a"), F.col("b").alias("rec_b"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = personal_passages(_table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", _table(spark, sf, "known_names"))
+    return found.select("doc_id", "kind", "found_text").distinct()
+
+
+def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return redact(_table(spark, sf, "documents").select("doc_id", "text"), "text", _table(spark, sf, "known_names")).select("doc_id", "redacted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_roles, p5_found, p5_collapsed, p6_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_report, p4_found, p4_roles, p5_found, p5_collapsed, p6_found, p7_found, p10_found, p10_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:

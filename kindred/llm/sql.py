@@ -49,4 +49,11 @@ SELECT row_id, label AS group_qid FROM ids JOIN grouped ON node = coalesce(a, b)
     "p6_found": f"""WITH RECURSIVE ids AS MATERIALIZED ({_IDS}),
 {_components("SELECT a AS src, b AS dst FROM ids WHERE is_duplicate = 1 AND a <> b")}
 SELECT node AS qid, label AS group_qid FROM grouped""",
+    "p7_found": f"""WITH {duck.macros()},
+recs AS (SELECT 'c:' || question_id AS rec, question AS t FROM retrieval_catalog UNION ALL SELECT 'p:' || row_id, question1 FROM smoke_pairs),
+texts AS MATERIALIZED (SELECT min(rec) AS rec, c FROM (SELECT rec, {duck.clean("t")} AS c FROM recs CROSS JOIN compat) WHERE c <> '' GROUP BY c),
+elements AS MATERIALIZED (SELECT rec, len(ws) AS n, unnest(ws) AS w FROM (SELECT rec, {duck.words("c")} AS ws FROM texts)),
+common AS (SELECT a.rec AS rec_a, b.rec AS rec_b, a.n AS n, b.n AS m, count(*) AS both_ FROM elements a JOIN elements b
+  ON a.w = b.w AND a.rec < b.rec AND a.n >= 0.7 * b.n AND b.n >= 0.7 * a.n GROUP BY ALL)
+SELECT rec_a, rec_b FROM common WHERE both_ / (n + m - both_) >= 0.7 - 1e-9""",
 }
