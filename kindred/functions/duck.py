@@ -39,3 +39,27 @@ def clean_id(text: str) -> str:
 
 def words(clean_text: str) -> str:
     return f"list_distinct(list_filter(string_split({clean_text}, ' '), lambda w: w <> ''))"
+
+
+def components(edges: str) -> str:
+    """CTEs (of a WITH RECURSIVE) ending in ``grouped`` (node, label): the smallest node of each component of (src, dst)."""
+    return f"""edges AS MATERIALIZED ({edges}),
+both_ways AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)),
+reach(node, label) AS (
+  SELECT DISTINCT src, src FROM both_ways
+  UNION
+  SELECT e.dst, r.label FROM reach r JOIN both_ways e ON e.src = r.node WHERE r.label < e.dst
+),
+grouped AS (SELECT node, min(label) AS label FROM reach GROUP BY node)"""
+
+
+def terms(clean_text: str) -> str:
+    """Unigrams of at least two characters and their bigrams, as a list."""
+    long = f"list_filter(string_split({clean_text}, ' '), lambda w: length(w) >= 2)"
+    return f"list_transform([{long}], lambda ws: list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])))[1]"
+
+
+def jaccard(a: str, b: str) -> str:
+    """Set similarity of two clean texts."""
+    x, y = words(a), words(b)
+    return f"CASE WHEN {a} = '' AND {b} = '' THEN 1.0 ELSE len(list_intersect({x}, {y})) / len(list_distinct(list_concat({x}, {y}))) END"

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.plans import loading
+from kindred.plans import auditing, loading, texts
 
-PARTS = (loading,)
+PARTS = (loading, texts, auditing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
