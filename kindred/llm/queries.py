@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +12,15 @@ from kindred.functions.text import clean_id
 from kindred.llm.copies import collapse, formatting_copies
 from kindred.llm.edits import near_texts
 from kindred.llm.grouping import match_groups
+from kindred.llm.mixing import mix
 from kindred.llm.overlap import overlap_report, split_overlaps
+from kindred.llm.packing import fill_report, pack
 from kindred.llm.personal import personal_passages, redact
 from kindred.llm.roles import assign_roles, linked_groups
 from kindred.llm.similar import nearest_vectors
+from kindred.llm.sizes import token_counts
 from kindred.llm.sql import SQL
+from kindred.session import Scratch
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -78,6 +83,40 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return near_texts(catalog.unionByName(pairs)).select(F.col("a").alias("rec_a"), F.col("b").alias("rec_b"))
 
 
+def _sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts(_table(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
+
+
+def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document in the containers of every spec; each spec is a task of its own."""
+    scratch = Scratch(spark)
+    sizes = scratch.save(_sizes(spark, sf))
+    specs = _table(spark, sf, "pack_spec").orderBy("spec_id").collect()
+    packed = [pack(sizes, "doc_id", "n_tokens", s["capacity_tokens"], scratch).withColumn("spec_id", F.lit(s["spec_id"])) for s in specs]
+    return reduce(DataFrame.unionByName, packed)
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    scratch = Scratch(spark)
+    sizes = scratch.save(_sizes(spark, sf))
+    specs = _table(spark, sf, "pack_spec").orderBy("spec_id").collect()
+    reports = [fill_report(pack(sizes, "doc_id", "n_tokens", s["capacity_tokens"], scratch), s["capacity_tokens"]).withColumn("spec_id", F.lit(s["spec_id"])) for s in specs]
+    return reduce(DataFrame.unionByName, reports)
+
+
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = token_counts(_table(spark, sf, "documents").select("doc_id", "source", "text"), "text").drop("text")
+    return mix(docs, "doc_id", "source", "n_tokens", _table(spark, sf, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf)[0]
+
+
+def p9_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf)[1]
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     found = personal_passages(_table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", _table(spark, sf, "known_names"))
     return found.select("doc_id", "kind", "found_text").distinct()
@@ -88,7 +127,7 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_report, p4_found, p4_roles, p5_found, p5_collapsed, p6_found, p7_found, p10_found, p10_redacted)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_report, p4_found, p4_roles, p5_found, p5_collapsed, p6_found, p7_found, p8_packed, p8_report, p9_mix, p9_report, p10_found, p10_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:

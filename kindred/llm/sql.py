@@ -18,18 +18,6 @@ common AS (
 pairs AS (SELECT train_key, other_key, both_ / (n + m - both_) AS similarity FROM common WHERE both_ / (n + m - both_) >= 0.8 - 1e-9)"""
 
 
-def _components(edges: str) -> str:
-    """CTEs ending in ``grouped`` (node, label): the smallest node of each component."""
-    return f"""edges AS MATERIALIZED ({edges}),
-both_ways AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)),
-reach(node, label) AS (
-  SELECT DISTINCT src, src FROM both_ways
-  UNION
-  SELECT e.dst, r.label FROM reach r JOIN both_ways e ON e.src = r.node WHERE r.label < e.dst
-),
-grouped AS (SELECT node, min(label) AS label FROM reach GROUP BY node)"""
-
-
 _IDS = f"SELECT row_id, is_duplicate, {duck.clean_id('qid1')} AS a, {duck.clean_id('qid2')} AS b FROM smoke_pairs"
 
 _COPIES = f"""{_TEXTS},
@@ -42,12 +30,12 @@ SQL = {
 SELECT split, lower(trim(source)) AS source, sum(n)::BIGINT AS n_pairs, count(*) AS n_records, count(*) FILTER (s > 1 - 1e-9) AS n_same
 FROM best JOIN texts ON row_id = other_key GROUP BY ALL""",
     "p4_found": f"""WITH RECURSIVE ids AS MATERIALIZED ({_IDS}),
-{_components("SELECT coalesce(a, b) AS src, coalesce(b, a) AS dst FROM ids WHERE coalesce(a, b) IS NOT NULL")}
+{duck.components("SELECT coalesce(a, b) AS src, coalesce(b, a) AS dst FROM ids WHERE coalesce(a, b) IS NOT NULL")}
 SELECT row_id, label AS group_qid FROM ids JOIN grouped ON node = coalesce(a, b)""",
     "p5_found": f"{_COPIES} SELECT kept AS row_id_kept, row_id AS row_id_copy FROM firsts WHERE row_id <> kept",
     "p5_collapsed": f"{_COPIES} SELECT row_id, n AS n_copies FROM firsts WHERE row_id = kept",
     "p6_found": f"""WITH RECURSIVE ids AS MATERIALIZED ({_IDS}),
-{_components("SELECT a AS src, b AS dst FROM ids WHERE is_duplicate = 1 AND a <> b")}
+{duck.components("SELECT a AS src, b AS dst FROM ids WHERE is_duplicate = 1 AND a <> b")}
 SELECT node AS qid, label AS group_qid FROM grouped""",
     "p7_found": f"""WITH {duck.macros()},
 recs AS (SELECT 'c:' || question_id AS rec, question AS t FROM retrieval_catalog UNION ALL SELECT 'p:' || row_id, question1 FROM smoke_pairs),
