@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.plans import auditing, loading, texts
+from kindred.plans import auditing, loading, monitoring, scoring, searching, texts
 
-PARTS = (loading, texts, auditing)
+PARTS = (loading, texts, auditing, scoring, searching, monitoring)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
