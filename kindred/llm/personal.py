@@ -148,7 +148,7 @@ _ADDRESSES = (
 _GERMAN_STREET = re.compile(r"(?i)(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm|ufer|chaussee) \d{1,4}(?: ?[a-z])?(?!\w)")
 _GERMAN_LEAD = re.compile(rf"(?i)(?<!\w)(?:(?:am|an der|zum|zur|auf dem|auf der|unter den) )?(?:{_L}|-)+\Z|(?<!\w)(?:am|an der|zum|zur|auf dem|auf der) (?=\Z)")
 
-_TITLE = r"(?:(?i:dr|prof|mr|mrs|ms|mx|herr|frau|mme|mlle|sra|sr|ing|dipl|don|doña|m)\.? )*"
+_TITLE = r"(?:(?i:dr|prof|mr|mrs|ms|mx|herr|frau|mme|mlle|sra|sr|ing|dipl|don|doña)\.? )*"
 _PARTICLE = r"(?:(?i:van der|van den|van|von der|von|zu|de la|de las|de los|del|de|der|den|di|da|dos|du|le|la|el|al|bin|ter) |(?i:d|l)['’])*"
 _NAME = rf"(?:{_L}\. ?(?:{_L}\. ?)*{_PARTICLE}{_WORD}|{_WORD}, {_WORD}(?: {_L}\.)?|{_WORD} (?:{_L}\. )*{_PARTICLE}{_WORD})"
 # Phrases that introduce a person. After a strong one any two words are a name.
