@@ -1,6 +1,6 @@
 """A mix of sources with given shares of all tokens.
 
-Documents of a source lie in a seeded order and are cut into blocks of about equal tokens. The size of the mix
+Documents of a source lie in a seeded order and are cut into blocks of equal tokens, up to a document at the borders. The size of the mix
 is the largest for which no source needs more than its tokens times its repeats; Sainte-Lague apportionment (highest
 quotients share / (2 q + 1)) gives each source its whole number of blocks. The blocks of every source are dealt to the shards
 in equal parts, again by highest quotients, so that each shard is a mix of its own. Which blocks
@@ -41,7 +41,7 @@ def sainte_lague(shares: dict[str, float], seats: int, most: dict[str, int] | No
 
 
 def mix(
-    docs: DataFrame, key: str, source: str, tokens: str, targets: DataFrame, block_tokens: int = 4096, shards: int = 8, seed: int = 17, scratch: Scratch | None = None
+    docs: DataFrame, key: str, source: str, tokens: str, targets: DataFrame, block_tokens: int = 512, shards: int = 8, seed: int = 17, scratch: Scratch | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """The mix (key, source, n_tokens, repeat, shard) and the report (source, target_share, ...).
 
@@ -60,9 +60,12 @@ def mix(
     times = {r["source"]: int(r["times"]) for r in wanted}
     used = docs.where(F.col(key).isNotNull() & (F.col(tokens) > 0)).select(F.col(key).alias("_key"), name(F.col(source)).alias("source"), F.col(tokens).cast("long").alias("n_tokens"))
     used = used.where(F.col("source").isin(list(share))) if share else used.limit(0)
-    ordered = running_total(used, "source", ["_key"], F.col("n_tokens"), "_before", seed)
-    blocks = scratch.save(ordered.select("_key", "source", "n_tokens", F.floor((F.col("_before") + F.col("n_tokens") / 2) / block_tokens).alias("block")))
-    stock = {r["source"]: (r["n"], r["t"]) for r in blocks.groupBy("source").agg((F.max("block") + 1).alias("n"), F.sum("n_tokens").alias("t")).collect()}
+    ordered = scratch.save(running_total(used, "source", ["_key"], F.col("n_tokens"), "_before", seed))
+    tokens_of = {r["source"]: r["t"] for r in ordered.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}  # at most the targets
+    stock = {s: (max(1, round(t / block_tokens)), t) for s, t in tokens_of.items()}
+    sizes = spark.createDataFrame([(s, n, t) for s, (n, t) in sorted(stock.items())], "source string, _n long, _t long")
+    at = F.floor((F.col("_before") + F.col("n_tokens") / 2) * F.col("_n") / F.col("_t"))
+    blocks = ordered.join(F.broadcast(sizes), "source").select("_key", "source", "n_tokens", F.least(at, F.col("_n") - 1).alias("block"))
     live = {s: v for s, v in share.items() if s in stock}
     plan, seats = [], 0
     if live:
