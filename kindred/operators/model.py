@@ -78,7 +78,7 @@ def train(
     fitting.unpersist()
     if evaluation is not None:
         held = to_vectors(evaluation.where(F.col(label).isin(0, 1))).persist()
-        losses = model.trees.evaluateEachIteration(held, "logistic")
+        losses = model.trees.evaluateEachIteration(held)
         best = min(range(len(losses)), key=losses.__getitem__) + 1
         if best < len(losses):
             model.trees = gbt.copy({gbt.maxIter: best}).fit(to_vectors(labelled))

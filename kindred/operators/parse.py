@@ -24,32 +24,32 @@ def _plain(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit(_ESC + "b"), F.lit(_CUT)), F.lit(_ESC + "a"), F.lit(_ESC))
 
 
+def _middle(pieces: Column) -> Column:
+    """The pieces between the first and the last; those at even places stand inside quotes."""
+    return F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0)))
+
+
 def quoting_ok(pieces: Column) -> Column:
     """``pieces``: the record split at every quote, so pieces at odd places stand inside quotes.
 
     A piece outside is empty only at the ends or between the two quotes of a doubled one; else it must end with a
     comma where a quote follows, and begin with one where a quote precedes.
     """
-    last = F.size(pieces) - 1
-
-    def fine(piece: Column, at: Column) -> Column:
-        inside = at % 2 == 1
-        starts = (at == 0) | piece.startswith(",")
-        ends = (at == last) | piece.endswith(",")
-        return inside | (piece == "") | (starts & ends)
-
-    return (last % 2 == 0) & F.forall(F.arrays_zip(pieces.alias("p"), F.sequence(F.lit(0), last).alias("i")), lambda x: fine(x["p"], x["i"]))
+    first, last = F.get(pieces, F.lit(0)), F.element_at(pieces, -1)
+    # every second piece is inside: marked by place, so that no lambda looks at the whole array
+    outside = F.filter(_middle(pieces), lambda _, i: i % 2 == 1)
+    between = F.forall(outside, lambda p: (p == "") | (p.startswith(",") & p.endswith(",")))
+    ends = ((first == "") | first.endswith(",")) & ((last == "") | last.startswith(","))
+    return (F.size(pieces) == 1) | ((F.size(pieces) % 2 == 1) & ends & between)
 
 
 def record_fields(pieces: Column) -> Column:
     """The fields of a record with correct quoting."""
-    last = F.size(pieces) - 1
-
-    def rewritten(piece: Column, at: Column) -> Column:
-        outside = F.when((piece == "") & (at > 0) & (at < last), F.lit('"')).otherwise(F.replace(_escaped(piece), F.lit(","), F.lit(_CUT)))
-        return F.when(at % 2 == 1, _escaped(piece)).otherwise(outside)
-
-    return F.transform(F.split(F.array_join(F.transform(pieces, rewritten), ""), _CUT, -1), _plain)
+    first, last = F.get(pieces, F.lit(0)), F.element_at(pieces, -1)
+    cut = lambda p: F.replace(_escaped(p), F.lit(","), F.lit(_CUT))
+    middle = F.transform(_middle(pieces), lambda p, i: F.when(i % 2 == 0, _escaped(p)).when(p == "", F.lit('"')).otherwise(cut(p)))
+    text = F.when(F.size(pieces) == 1, cut(first)).otherwise(F.concat(cut(first), F.array_join(middle, ""), cut(last)))
+    return F.transform(F.split(text, _CUT, -1), _plain)
 
 
 def parse_pair_records(raw: DataFrame, line: str = "raw_line", header: str = HEADER) -> DataFrame:
