@@ -59,7 +59,7 @@ def mix(
     share = {r["source"]: float(r["share"]) for r in wanted}
     times = {r["source"]: int(r["times"]) for r in wanted}
     used = docs.where(F.col(key).isNotNull() & (F.col(tokens) > 0)).select(F.col(key).alias("_key"), name(F.col(source)).alias("source"), F.col(tokens).cast("long").alias("n_tokens"))
-    used = used.where(F.col("source").isin(list(share))) if share else used.limit(0)
+    used = scratch.save(used.where(F.col("source").isin(list(share))) if share else used.limit(0))  # read three times, sized once
     ordered = scratch.save(running_total(used, "source", ["_key"], F.col("n_tokens"), "_before", seed))
     tokens_of = {r["source"]: r["t"] for r in ordered.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}  # at most the targets
     stock = {s: (max(1, round(t / block_tokens)), t) for s, t in tokens_of.items()}
