@@ -36,10 +36,12 @@ def tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def rerank_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The 10 best of 50 candidates by word similarity of query and entry."""
-    hits = _hits(spark, sf, 50).join(retrieval.usable_catalog(_catalog(spark, sf)), "question_id")
+    entries = retrieval.usable_catalog(_catalog(spark, sf)).select("question_id", clean_text(F.col("question")).alias("entry"))
+    asked = table(spark, sf, "retrieval_qrels").select("query").distinct().select("query", clean_text(F.col("query")).alias("asked"))
+    hits = _hits(spark, sf, 50).join(entries, "question_id").join(asked, "query")  # each text is cleaned once
 
     def similarity(df: DataFrame) -> Column:
-        return word_jaccard(clean_text(df["query"]), clean_text(df["question"]))
+        return word_jaccard(df["asked"], df["entry"])
 
     best = retrieval.rerank(hits, similarity, 10, 50)
     return best.select("query", "question_id", "rank", F.round("rerank_score", 6).alias("rerank_score"), F.round("score", 6).alias("score"))
