@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.features import wilson
+from kindred.session import Scratch
 
 EPSILON = 2.220446049250313e-16
 GRID = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
@@ -32,7 +33,8 @@ def confusion_metrics() -> dict[str, Column]:
 
 
 def _confusion(y: Column, hit: Column) -> list[Column]:
-    cell = lambda c, name: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(name)
+    """Cells of a table of score counts."""
+    cell = lambda c, name: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0)).alias(name)
     return [cell((y == 0) & ~hit, "tn"), cell((y == 0) & hit, "fp"), cell((y == 1) & ~hit, "fn"), cell((y == 1) & hit, "tp")]
 
 
@@ -47,11 +49,8 @@ def threshold_sweep(scored: DataFrame, label: str, proba: str, thresholds: Seque
 
     The table is reduced to counts per distinct probability and label before it meets the grid.
     """
-    counts = scored.groupBy(*by, F.col(label).alias("_y"), F.col(proba).alias("_p")).agg(F.count("*").alias("_n"))
-    met = counts.crossJoin(F.broadcast(_grid(scored, thresholds)))  # a few thresholds
-    n = lambda c, name: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0)).alias(name)
-    y, hit = F.col("_y"), F.col("_p") >= F.col("threshold")
-    table = met.groupBy(*by, "position", "threshold").agg(n((y == 0) & ~hit, "tn"), n((y == 0) & hit, "fp"), n((y == 1) & ~hit, "fn"), n((y == 1) & hit, "tp"))
+    met = score_counts(scored, label, proba, by).crossJoin(F.broadcast(_grid(scored, thresholds)))  # a few thresholds
+    table = met.groupBy(*by, "position", "threshold").agg(*_confusion(F.col("_y"), F.col("_p") >= F.col("threshold")))
     return table.withColumns(confusion_metrics())
 
 
@@ -76,8 +75,9 @@ def select_threshold(sweep: DataFrame, optimize_for: str = "f1", fp_cost: float
     return chosen.select("r.*").where("threshold is not null")
 
 
-def _by_score(scored: DataFrame, label: str, proba: str, by: Sequence[str]) -> DataFrame:
-    return scored.groupBy(*by, F.col(proba).alias("_p")).agg(F.sum((F.col(label) == 1).cast("long")).alias("_pos"), F.count("*").alias("_all"))
+def score_counts(scored: DataFrame, label: str, proba: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, _y, _p, _n): how often each label and probability occur together; all measures are sums over this."""
+    return scored.groupBy(*by, F.col(label).alias("_y"), F.col(proba).alias("_p")).agg(F.count("*").alias("_n"))
 
 
 def rank_measures(scored: DataFrame, label: str, proba: str, by: Sequence[str] = ()) -> DataFrame:
@@ -86,7 +86,12 @@ def rank_measures(scored: DataFrame, label: str, proba: str, by: Sequence[str] =
     Running sums over distinct scores: each range of scores is summed on its own and shifted by the totals of the higher ranges,
     so no single task holds all scores.
     """
-    counts = _by_score(scored, label, proba, by)
+    return _ranks(score_counts(scored, label, proba, by), by)
+
+
+def _ranks(score_table: DataFrame, by: Sequence[str]) -> DataFrame:
+    n = F.col("_n")
+    counts = score_table.groupBy(*by, "_p").agg(F.sum(F.when(F.col("_y") == 1, n).otherwise(0)).alias("_pos"), F.sum(n).alias("_all"))
     ranged = counts.withColumn("_range", F.floor(F.col("_p") * 256))  # of probabilities: at most 257
     w = Window.partitionBy(*by, "_range").orderBy(F.desc("_p"))
     inner = ranged.withColumns({"_tp": F.sum("_pos").over(w), "_seen": F.sum("_all").over(w)})
@@ -107,10 +112,14 @@ def rank_measures(scored: DataFrame, label: str, proba: str, by: Sequence[str] =
 
 def probability_losses(scored: DataFrame, label: str, proba: str, by: Sequence[str] = ()) -> DataFrame:
     """log_loss (probabilities clipped by machine epsilon) and brier score."""
-    y = F.col(label).cast("double")
-    p = F.least(F.greatest(F.col(proba), F.lit(EPSILON)), F.lit(1 - EPSILON))
-    loss = F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p)))
-    return scored.groupBy(*by).agg(loss.alias("log_loss"), F.avg((F.col(proba) - y) ** 2).alias("brier"))
+    return _losses(score_counts(scored, label, proba, by), by)
+
+
+def _losses(score_table: DataFrame, by: Sequence[str]) -> DataFrame:
+    y, n = F.col("_y").cast("double"), F.col("_n")
+    p = F.least(F.greatest(F.col("_p"), F.lit(EPSILON)), F.lit(1 - EPSILON))
+    mean = lambda value: F.sum(n * value) / F.sum(n)
+    return score_table.groupBy(*by).agg(mean(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"), mean((F.col("_p") - y) ** 2).alias("brier"))
 
 
 def calibration_bins(scored: DataFrame, label: str, proba: str, n_bins: int = 10) -> DataFrame:
@@ -135,7 +144,7 @@ def expected_calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg((F.sum(F.col("n") * F.col("abs_error")) / F.sum("n")).alias("ece"))
 
 
-def slice_metrics(scored: DataFrame, label: str, proba: str, columns: Sequence[str], threshold: float = 0.5, max_slices: int = 50) -> DataFrame:
+def slice_metrics(scored: DataFrame, label: str, proba: str, columns: Sequence[str], threshold: float = 0.5, max_slices: int = 50, scratch: Scratch | None = None) -> DataFrame:
     """Confusion, rates and their 95 % intervals, losses and rank measures per (slice_column, slice).
 
     Rows whose slice value is null or blank form no slice. Raises if a column has more than ``max_slices`` values.
@@ -144,26 +153,26 @@ def slice_metrics(scored: DataFrame, label: str, proba: str, columns: Sequence[s
         raise ValueError("slice columns must be unique")
     pairs = F.array(*[F.struct(F.lit(c).alias("slice_column"), F.trim(F.col(c).cast("string")).alias("slice")) for c in columns])
     long = scored.select(F.col(label).alias("_y"), F.col(proba).alias("_p"), F.inline(pairs)).where("slice is not null and slice <> ''")
-    counted = long.groupBy("slice_column", "slice", "_y", "_p").agg(F.count("*").alias("_n"))
+    counted = (scratch or Scratch(scored.sparkSession)).save(score_counts(long, "_y", "_p", ["slice_column", "slice"]))  # the one pass over the data
     sizes = counted.select("slice_column", "slice").distinct().groupBy("slice_column").agg(F.count("*").alias("n")).where(F.col("n") > max_slices)
     crowded = [r["slice_column"] for r in sizes.collect()]
     if crowded:
         raise ValueError(f"more than {max_slices} slices in {', '.join(sorted(crowded))}")
     by = ["slice_column", "slice"]
-    y = F.col("_y")
-    base = long.groupBy(*by).agg(F.count("*").alias("rows"), *_confusion(y, F.col("_p") >= threshold)).withColumns(confusion_metrics())
+    base = counted.groupBy(*by).agg(F.sum("_n").alias("rows"), *_confusion(F.col("_y"), F.col("_p") >= threshold)).withColumns(confusion_metrics())
     n, tp, fp, fn, tn = (F.col(c) for c in ("rows", "tp", "fp", "fn", "tn"))
     for name, hits, trials in (("positive_rate", tp + fn, n), ("accuracy", tp + tn, n), ("precision", tp, tp + fp), ("recall", tp, tp + fn)):
         low, high = wilson(hits, trials)
         base = base.withColumns({f"{name}_low": low, f"{name}_high": high})
     base = base.withColumn("positive_rate", _rate(tp + fn, n))
-    return base.join(probability_losses(long, "_y", "_p", by), by).join(rank_measures(long, "_y", "_p", by).drop("n", "n_positive"), by)
+    return base.join(_losses(counted, by), by).join(_ranks(counted, by).drop("n", "n_positive"), by)
 
 
 def compare_models(scored: DataFrame, label: str, probas: dict[str, str], threshold: float = 0.5) -> DataFrame:
     """One row per model on the same rows: confusion, losses, rank measures; best f1 first."""
     models = F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).cast("double").alias("_p")) for n, c in probas.items()])
     long = scored.select(F.col(label).alias("_y"), F.inline(models))
-    base = long.groupBy("model").agg(*_confusion(F.col("_y"), F.col("_p") >= threshold)).withColumns(confusion_metrics())
-    joined = base.join(probability_losses(long, "_y", "_p", ["model"]), "model").join(rank_measures(long, "_y", "_p", ["model"]), "model")
+    counted = Scratch(scored.sparkSession).save(score_counts(long, "_y", "_p", ["model"]))
+    base = counted.groupBy("model").agg(*_confusion(F.col("_y"), F.col("_p") >= threshold)).withColumns(confusion_metrics())
+    joined = base.join(_losses(counted, ["model"]), "model").join(_ranks(counted, ["model"]), "model")
     return joined.orderBy(F.desc("f1"), "model")

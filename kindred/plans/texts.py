@@ -10,11 +10,11 @@ from kindred.functions.features import dense_features, lexical_features
 from kindred.functions.text import clean_text, length_bucket, token_count, tokens, words
 from kindred.operators.model import corpus
 from kindred.operators.tfidf import fit_vocabulary, pair_cosines
-from kindred.session import Scratch
+from kindred.session import Scratch, spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def clean_text_docs(spark: SparkSession, sf: str) -> DataFrame:
