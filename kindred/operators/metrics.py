@@ -86,7 +86,7 @@ def rank_measures(scored: DataFrame, label: str, proba: str, by: Sequence[str] =
     Running sums over distinct scores: each range of scores is summed on its own and shifted by the totals of the higher ranges,
     so no single task holds all scores.
     """
-    return _ranks(score_counts(scored, label, proba, by), by)
+    return _ranks(Scratch(scored.sparkSession).save(score_counts(scored, label, proba, by)), by)
 
 
 def _ranks(score_table: DataFrame, by: Sequence[str]) -> DataFrame:
