@@ -62,13 +62,13 @@ def ranking_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 def hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     pairs = table(spark, sf, "smoke_pairs").where("split = 'train'")
-    return mining.hard_negatives(pairs, candidate_k=20)
+    return mining.hard_negatives(pairs)
 
 
 def hard_negative_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """How many candidates each positive row has from each side."""
     pairs = table(spark, sf, "smoke_pairs").where("split = 'train'")
-    return mining.candidate_pairs(pairs, candidate_k=20, scratch=Scratch(spark)).groupBy("row", "anchor_side").agg(F.count("*").alias("n"), F.min("rank").alias("best_rank"))
+    return mining.candidate_pairs(pairs, scratch=Scratch(spark)).groupBy("row", "anchor_side").agg(F.count("*").alias("n"), F.min("rank").alias("best_rank"))
 
 
 QUERIES = {f.__name__: f for f in (catalog_problems, qrels_problems, tfidf_topk, rerank_topk, dense_topk, ranking_metrics, hard_negatives, hard_negative_candidates)}
