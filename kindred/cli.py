@@ -76,7 +76,7 @@ def freeze_protocol(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
-@command(CSV, OUT, arg("--eval-csv"), arg("--eval-fraction", type=float, default=0.2), arg("--optimize-for", default="f1"), arg("--trees", type=int, default=40), arg("--registry"))
+@command(CSV, OUT, arg("--eval-csv"), arg("--eval-fraction", type=float, default=0.2), arg("--optimize-for", default="f1"), arg("--trees", type=int, default=200), arg("--registry"))
 def train(spark: SparkSession, a: argparse.Namespace) -> int:
     pairs = tables.read_pairs(spark, a.csv)
     held = tables.read_pairs(spark, a.eval_csv) if a.eval_csv else None

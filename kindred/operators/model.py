@@ -21,6 +21,7 @@ from kindred.operators.tfidf import MAX_FEATURES, fit_vocabulary, pair_cosines
 
 FEATURES = ["cos", "jaccard", "len_ratio", "abs_len_diff", "len_sum"]
 MAX_PAIRS, MAX_CHARACTERS = 256, 8192  # limits of one request
+PATIENCE = 20  # trees without gain that end boosting
 
 
 def corpus(pairs: DataFrame, left: str = "question1", right: str = "question2") -> DataFrame:
@@ -53,13 +54,37 @@ class DuplicateModel:
         return scored.select(key, *FEATURES, "raw_proba", "calibrated_proba", F.coalesce("calibrated_proba", "raw_proba").alias("proba"))
 
 
+def best_round(losses: list[float], patience: int = PATIENCE) -> int:
+    """The round (from 1) of least loss until ``patience`` rounds in a row bring no smaller one."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def first_trees(trees: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model of the first ``n`` trees."""
+    if n >= trees.getNumTrees:
+        return trees
+    sc, java = SparkSession.active().sparkContext, trees._java_obj
+    kept, weights = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n), sc._gateway.new_array(sc._jvm.double, n)
+    for i in range(n):
+        kept[i], weights[i] = java.trees()[i], trees.treeWeights[i]
+    cut = GBTClassificationModel(sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), kept, weights, trees.numFeatures, trees.numClasses))
+    return cut.setFeaturesCol(trees.getFeaturesCol())
+
+
 def train(
     pairs: DataFrame, key: str = "row_id", label: str = "is_duplicate", left: str = "question1", right: str = "question2", evaluation: DataFrame | None = None,
-    max_features: int = MAX_FEATURES, trees: int = 40, depth: int = 6, step: float = 0.1, seed: int = 42, optimize_for: str = "f1",
+    max_features: int = MAX_FEATURES, trees: int = 200, depth: int = 6, step: float = 0.1, seed: int = 42, optimize_for: str = "f1",
 ) -> DuplicateModel:
     """Fits vocabulary and trees on ``pairs`` only; rows whose label isn't 0 or 1 are left out.
 
-    With ``evaluation`` rows the number of trees is the one with the least loss on them, and a threshold is chosen on them.
+    With ``evaluation`` rows the number of trees is the one with the least loss on them before ``PATIENCE`` trees without gain, and a
+    threshold is chosen on them. MLlib has no such stop, so all ``trees`` are fitted and the ones behind it cut off: no tree depends on later ones.
     """
     missing = [c for c in (key, label, left, right) if c not in pairs.columns]
     if missing:
@@ -78,10 +103,7 @@ def train(
     fitting.unpersist()
     if evaluation is not None:
         held = to_vectors(evaluation.where(F.col(label).isin(0, 1))).persist()
-        losses = model.trees.evaluateEachIteration(held)
-        best = min(range(len(losses)), key=losses.__getitem__) + 1
-        if best < len(losses):
-            model.trees = gbt.copy({gbt.maxIter: best}).fit(to_vectors(labelled))
+        model.trees = first_trees(model.trees, best_round(model.trees.evaluateEachIteration(held)))
         held.unpersist()
         scored = model.score(evaluation, key, left, right).join(evaluation.select(key, F.col(label)), key).where(F.col(label).isin(0, 1))
         chosen = select_threshold(threshold_sweep(scored, label, "proba", GRID), optimize_for).first()

@@ -93,7 +93,7 @@ def fitted_isotonic(spark: SparkSession, sf: str) -> DataFrame:
 def trained_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Trees fitted on the train split, the threshold chosen on tuning, the final holdout scored."""
     pairs = table(spark, sf, "smoke_pairs")
-    model = train(pairs.where("split = 'train'"), evaluation=pairs.where("split = 'tuning'"), trees=20)
+    model = train(pairs.where("split = 'train'"), evaluation=pairs.where("split = 'tuning'"))
     held = model.score(pairs.where("split = 'final_holdout'"), "row_id")
     return held.select("row_id", "proba", (F.col("proba") >= (model.threshold or 0.5)).alias("is_duplicate"))
 

@@ -1,6 +1,9 @@
 """Queries do the whole job of their operators."""
 
-from kindred.plans import searching
+import inspect
+
+from kindred.operators import model
+from kindred.plans import scoring, searching
 
 
 def test_mining_meets_fifty_candidates(spark, tmp_path):
@@ -13,3 +16,25 @@ def test_mining_meets_fifty_candidates(spark, tmp_path):
     assert sorted(r["source_row"] for r in mined) == list(range(30)) and {r["rank"] for r in mined} == {32}
     sides = searching.hard_negative_candidates(spark, str(tmp_path)).collect()
     assert len(sides) == 60 and {(r["n"], r["best_rank"]) for r in sides} == {(19, 32)}
+
+
+def test_trees_stop_by_patience_alone(spark, monkeypatch):
+    """200 trees at most, in the query too; the first trees of a longer fit are the shorter fit."""
+    assert inspect.signature(model.train).parameters["trees"].default == 200
+    given = {}
+    monkeypatch.setattr(scoring, "table", lambda *_: spark.range(1).selectExpr("'train' split"))
+    monkeypatch.setattr(scoring, "train", lambda *_, **options: given.update(options) or 1 / 0)
+    try:
+        scoring.trained_scores(spark, "")
+    except ZeroDivisionError:
+        pass
+    assert set(given) == {"evaluation"}
+    down = [1 - i / 100 for i in range(50)]
+    assert model.best_round(down) == 50
+    assert model.best_round(down + [0.9] * 19 + [0.1]) == 70
+    assert model.best_round(down + [0.9] * 20 + [0.1]) == 50
+    data = [(i, f"a b c{i % 7}", f"a b c{i % 5} d" if i % 3 else f"x c{i % 4}", int(i % 3 > 0) if i % 11 else 0) for i in range(300)]
+    df = spark.createDataFrame(data, "row_id long, question1 string, question2 string, is_duplicate int").coalesce(1)
+    long, short = (model.train(df, trees=n, depth=2).trees for n in (6, 3))
+    cut = model.first_trees(long, 3)
+    assert cut.getNumTrees == 3 and cut.toDebugString.split("\n")[1:] == short.toDebugString.split("\n")[1:] and cut.treeWeights == short.treeWeights
