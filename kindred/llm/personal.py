@@ -109,7 +109,6 @@ _L = r"[^\W\d_]"
 _WORD = rf"{_L}(?:{_L}|['’](?={_L}))*(?:-{_L}{{2,}})*"
 _LOCAL = re.compile(r"(?<![\w.+%*-])[\w*](?:[\w.+%*-]*[\w*])?\Z")
 _DOMAIN = re.compile(r"(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w-])")
-_MAY_DISGUISE = re.compile(r" AT | ?@ |[\[({<]\s?(?:at|AT|At|arroba|ARROBA|ät|ÄT|chez|CHEZ)\s?[\])}>]")
 
 _PHONE_CUE = re.compile(
     r"(?i)(?<!\w)(?:call(?: me)?(?: on| at)?|my number is|hotline|text|tel|tél|telefon|teléfono|téléphone|phone|mobile|móvil|handy|cell|fax|whatsapp|"
@@ -191,7 +190,7 @@ def _ends(lower: str, phrases: tuple[str, ...]) -> Iterator[int]:
 
 
 def emails(base: Traced) -> Iterator[tuple[int, int]]:
-    traced = undisguised(base) if _MAY_DISGUISE.search(base.text) or " DOT " in base.text else base
+    traced = undisguised(base)
     text, at = traced.text, traced.text.find("@")
     while at >= 0:
         local, domain = _LOCAL.search(text, max(0, at - 256), at), _DOMAIN.match(text, at + 1)
