@@ -76,7 +76,6 @@ class Traced:
 _OTHER = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
 _INVISIBLE = "\xad\u200b\u200c\u200d\u2060\ufeff"
 _DIGIT_RUN = re.compile(rf"(?i)\b(?:{'|'.join(_DIGITS)})(?:[ ,-]{{1,2}}(?:{'|'.join(_DIGITS)})){{5,}}\b")
-_DIGIT_WORDS = set(_DIGITS)
 _AT = re.compile(r"[ ]?(?:[\[({<]\s?(?i:at|arroba|ät|chez)\s?[\])}>])[ ]?| AT (?=\S+(?: DOT |\.)\S)| @ |(?<=\w) @(?=\w)|(?<=\w)@ (?=\w+\.\w)")
 _DOT = re.compile(r"[ ]?[\[({<]\s?(?i:dot|punkt|punto|point)\s?[\])}>][ ]?|(?<=\w) DOT (?=\w)")
 
@@ -213,8 +212,8 @@ def _enough(found: str, least: int, most: int) -> bool:
     return least <= sum(c.isdigit() for c in found) <= most
 
 
-def phones(base: Traced, lower: str) -> Iterator[tuple[int, int]]:
-    traced = base if _DIGIT_WORDS.isdisjoint(lower.split()) else spelled(base)
+def phones(base: Traced) -> Iterator[tuple[int, int]]:
+    traced = spelled(base)
     text = traced.text
     for m in _CUED_PHONE.finditer(text):
         if _enough(m.group(), 7, 15) and _PHONE_CUE.search(text, max(0, m.start() - 40), m.start()):
@@ -273,7 +272,7 @@ def find_personal(text: str, known: dict[str, str]) -> list[tuple[int, int, str]
     found = [(s, "email") for s in emails(base)]
     if digits:
         found += [(s, "street_address") for s in addresses(base)] + [(s, "identity_number") for s in identity_numbers(base, lower)]
-    found += [(s, "phone") for s in phones(base, lower)]
+    found += [(s, "phone") for s in phones(base)]
     found += [(s, "name") for s in names(base, lower, known)]
     rank = {k: i for i, k in enumerate(KINDS)}
     taken: list[tuple[int, int, str]] = []

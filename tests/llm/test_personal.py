@@ -14,3 +14,8 @@ def found(text):
 @pytest.mark.parametrize("text", ["name@host [dot] org", "name @host.org", "name [Arroba] host.org", "name@host DOT org"])
 def test_each_disguise_alone(text):
     assert found(f"see {text} for it") == [("email", text)]
+
+
+@pytest.mark.parametrize("number", ["zero-six-one-two-three-four-five", "zero, six, one, two, three, four, five"])
+def test_spelled_digits_with_any_separator(number):
+    assert found(f"call me on {number}.") == [("phone", number)]
