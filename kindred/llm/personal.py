@@ -165,6 +165,8 @@ _TITLES = re.compile(rf"[ ,]*{_TITLE}")
 _COLON = re.compile(r" ?:")
 _NAME_BEFORE = re.compile(rf"(?<![\w.@-])(?:{_TITLE})(?P<name>{_NAME})\Z")
 _NAME_AT = re.compile(_NAME)
+_INITIALS = re.compile(rf"(?<![\w.@-])(?!e\.g\.|i\.e\.|z\.[bB]\.|d\.h\.|u\.a\.|[ap]\.m\.)(?:{_L}\. ?)+{_PARTICLE}\Z")
+_NO_FAMILY = re.compile(rf"(?i:{_STREET_EN})(?!\w)")
 _PRODUCT = re.compile(r"[ ](?i:studio|server|cluster|core|gateway|suite|cloud|engine|platform)\b")
 
 
@@ -232,7 +234,8 @@ def identity_numbers(base: Traced, lower: str) -> Iterator[tuple[int, int]]:
 
 
 def names(base: Traced, lower: str, known: dict[str, str]) -> Iterator[tuple[int, int]]:
-    """Names after or before phrases that introduce persons, and pairs of known name parts anywhere."""
+    """Names after or before phrases that introduce persons; anywhere pairs of known name parts, initials before a known family name, and a
+    known given name before another capitalised word."""
     text = base.text
 
     def person(a: int, b: int) -> bool:
@@ -257,9 +260,15 @@ def names(base: Traced, lower: str, known: dict[str, str]) -> Iterator[tuple[int
             at = lower.find(phrase, at + 1)
     for word in known.keys() & set(re.findall(_L + "+", lower)):
         for m in re.finditer(rf"(?<![\w@./+-]){word}(?!\w)", lower):
+            initials = known[word] == "family" and _INITIALS.search(text, max(0, m.start() - 40), m.start())
+            if initials and person(initials.start(), m.end()) and text[m.end() : m.end() + 1] not in ("@", "_"):
+                yield base.source(initials.start(), m.end())
             pair = _NAME_AT.match(text, m.start())
-            parts = [w.lower() for w in re.findall(_L + "{2,}", pair.group())] if pair else []
-            if len(parts) > 1 and {known[word], *(known.get(p) for p in parts[1:])} >= {"given", "family"}:
+            words = re.findall(_L + "{2,}", pair.group()) if pair else []
+            parts = [w.lower() for w in words]
+            both = len(parts) > 1 and {known[word], *(known.get(p) for p in parts[1:])} >= {"given", "family"}
+            given = len(parts) > 1 and known[word] == "given" and "," not in pair.group() and words[0].istitle() and words[-1].istitle() and parts[-1] not in known
+            if both or (given and not _NO_FAMILY.fullmatch(words[-1])):
                 if person(*pair.span()) and text[pair.end() : pair.end() + 1] not in ("@", "_"):
                     yield base.source(*pair.span())
 

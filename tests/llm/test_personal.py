@@ -19,3 +19,13 @@ def test_each_disguise_alone(text):
 @pytest.mark.parametrize("number", ["zero-six-one-two-three-four-five", "zero, six, one, two, three, four, five"])
 def test_spelled_digits_with_any_separator(number):
     assert found(f"call me on {number}.") == [("phone", number)]
+
+
+@pytest.mark.parametrize("name", ["J. Keller", "j. p. keller", "A. de la Lopez", "Maria Quint", "Jonas T. van Quint", "Jonas Lopez"])
+def test_names_without_a_phrase(name):
+    assert found(f"yesterday {name} came by") == [("name", name)]
+
+
+@pytest.mark.parametrize("text", ["J. Keller Server", "Maria Street", "then Maria came", "dear Keller", "Maria, Monday is fine", "e.g. keller"])
+def test_no_names(text):
+    assert found(text) == []
