@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.text import WHITE_SPACE, strip_space
+from kindred.functions.text import strip_space
 
 HEADER = "id,qid1,qid2,question1,question2,is_duplicate"
 _CUT, _ESC = "\ue000", "\ue001"  # a field border in the rewritten record, and what escapes it in the text
@@ -52,13 +52,30 @@ def record_fields(pieces: Column) -> Column:
     return F.transform(F.split(text, _CUT, -1), _plain)
 
 
+def broken_rules(fields: Column, quoted: Column, width: int) -> list[tuple[str, Column]]:
+    """(name, condition) of every rule, in the order in which a record's first reason counts; a null condition isn't an error.
+
+    The fields are compared with what they become as typed values: an id is all ASCII digits, a label casts to 0 or 1 and is written so.
+    """
+    id_, question1, label = (F.get(fields, F.lit(i)) for i in (0, 3, 5))
+    bare = strip_space(label)
+    aligned = quoted & (F.size(fields) == width)
+    return [
+        ("quoting", ~quoted),
+        ("column_count", quoted & (F.size(fields) != width)),
+        ("value:id", aligned & ~id_.rlike("\\A[0-9]+\\z")),
+        ("value:question1", aligned & (strip_space(question1) == "")),
+        ("value:is_duplicate", aligned & ~F.coalesce(bare.try_cast("tinyint").isin(0, 1) & (F.length(bare) == 1), F.lit(False))),
+    ]
+
+
 def parse_pair_records(raw: DataFrame, line: str = "raw_line", header: str = HEADER) -> DataFrame:
-    """``raw`` with ``_errors`` (array of quoting, column_count, value: empty for a good record) and the six fields.
+    """``raw`` with ``_errors`` (array of all broken rules: empty for a good record) and the six fields as text.
 
+    Rules are quoting, column_count, value:id, value:question1, value:is_duplicate; fields are only looked at where their number is right.
     Nulls: a null record is an empty one (column_count). Header lines, also repeated ones, are left out; a
-    carriage return at the end is part of the line ending. A record fails for its first reason in the order
-    quoting, column_count, value. An id beyond 18 digits can't be typed and is a value error. Extra columns of
-    ``raw`` stay. Missing qids and question2 are fine and come out null. An empty table gives an empty one.
+    carriage return at the end is part of the line ending. Extra columns of ``raw`` stay. Missing qids and question2 are fine and
+    come out null. An empty table gives an empty one.
     """
     text = F.regexp_replace(F.coalesce(F.col(line), F.lit("")), "\\r\\z", "")
     step = raw.withColumn("_text", text).where(F.col("_text") != header).withColumn("_pieces", F.split("_text", '"', -1))
@@ -66,29 +83,25 @@ def parse_pair_records(raw: DataFrame, line: str = "raw_line", header: str = HEA
     step = step.withColumn("_fields", F.when(F.col("_quoted"), record_fields(F.col("_pieces"))))
     names = header.split(",")
     step = step.withColumns({f"_{name}": F.get("_fields", F.lit(i)) for i, name in enumerate(names)})
-    label = strip_space(F.col("_is_duplicate"))
-    broken_value = (
-        ~F.col("_id").rlike("\\A[0-9]{1,18}\\z") | F.col("_question1").rlike(f"\\A[{WHITE_SPACE}]*\\z") | ~label.isin("0", "1")
-    )
-    wrong_count = F.size("_fields") != len(names)
-    reason = (
-        F.when(~F.col("_quoted"), "quoting").when(wrong_count, "column_count").when(broken_value, "value")
-    )
-    step = step.withColumn("_errors", F.array_compact(F.array(reason)))
-    return step.drop("_text", "_pieces", "_quoted", "_fields")
+    errors = F.array(*[F.when(broken, name) for name, broken in broken_rules(F.col("_fields"), F.col("_quoted"), len(names))])
+    return step.withColumn("_errors", F.array_compact(errors)).drop("_text", "_pieces", "_quoted", "_fields")
 
 
 def failed_records(parsed: DataFrame, key: str = "raw_id") -> DataFrame:
-    """(key, reason) of the records with errors."""
-    return parsed.where(F.size("_errors") > 0).select(key, F.get("_errors", F.lit(0)).alias("reason"))
+    """(key, reason) of the records with errors: the first broken rule, quoting, column_count or value."""
+    return parsed.where(F.size("_errors") > 0).select(key, F.split_part(F.get("_errors", F.lit(0)), F.lit(":"), F.lit(1)).alias("reason"))
 
 
 def valid_pairs(parsed: DataFrame, key: str = "raw_id") -> DataFrame:
-    """The good records as typed rows of pairs, with their key."""
+    """The good records as typed rows of pairs, with their key.
+
+    ``row_id`` is null for an id that no long can hold; such an id stands in ``long_id`` as text.
+    """
     blank = lambda name: F.when(F.col(name) != "", F.col(name))
     return parsed.where(F.size("_errors") == 0).select(
         key,
-        F.col("_id").cast("long").alias("row_id"),
+        F.col("_id").try_cast("long").alias("row_id"),
+        F.when(F.col("_id").try_cast("long").isNull(), F.col("_id")).alias("long_id"),
         blank("_qid1").alias("qid1"),
         blank("_qid2").alias("qid2"),
         F.col("_question1").alias("question1"),

@@ -28,11 +28,11 @@ checked AS (SELECT raw_id, t, regexp_full_match(t, '{_FIELD}(,{_FIELD})*') AS qu
 fields AS (SELECT raw_id, quoted, list_transform(regexp_extract_all(',' || t, ',{_FIELD}', 1),
   lambda f: CASE WHEN f[1] = '"' THEN replace(f[2:-2], '""', '"') ELSE f END) AS f FROM checked),
 parsed AS (SELECT raw_id, f, CASE WHEN NOT quoted THEN 'quoting' WHEN len(f) <> 6 THEN 'column_count'
-  WHEN NOT regexp_full_match(f[1], '[0-9]{{1,18}}') OR regexp_full_match(f[4], '{SPACE}*')
+  WHEN NOT regexp_full_match(f[1], '[0-9]+') OR regexp_full_match(f[4], '{SPACE}*')
     OR regexp_replace(f[6], '^{SPACE}+|{SPACE}+$', '', 'g') NOT IN ('0', '1') THEN 'value' END AS reason FROM fields)"""
 
 SQL = {
     "p2_found": f"{_PARSED} SELECT raw_id, reason FROM parsed WHERE reason IS NOT NULL",
-    "p2_rows": f"""{_PARSED} SELECT raw_id, f[1]::BIGINT AS row_id, nullif(f[2], '') AS qid1, nullif(f[3], '') AS qid2, f[4] AS question1,
+    "p2_rows": f"""{_PARSED} SELECT raw_id, try_cast(f[1] AS BIGINT) AS row_id, CASE WHEN try_cast(f[1] AS BIGINT) IS NULL THEN f[1] END AS long_id, nullif(f[2], '') AS qid1, nullif(f[3], '') AS qid2, f[4] AS question1,
   nullif(f[5], '') AS question2, regexp_replace(f[6], '^{SPACE}+|{SPACE}+$', '', 'g')::INT AS is_duplicate FROM parsed WHERE reason IS NULL""",
 }

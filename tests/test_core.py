@@ -96,10 +96,10 @@ def test_parse_pair_records(spark):
     parsed = parse.parse_pair_records(raw)
     bad = dict(rows_of(parse.failed_records(parsed)))
     assert bad == {
-        5: "column_count", 6: "quoting", 7: "quoting", 8: "quoting", 9: "value", 10: "value", 11: "value", 12: "column_count", 13: "column_count", 17: "column_count", 18: "quoting", 21: "value"
+        5: "column_count", 6: "quoting", 7: "quoting", 8: "quoting", 9: "value", 10: "value", 11: "value", 12: "column_count", 13: "column_count", 17: "column_count", 18: "quoting"
     }
     good = {r["raw_id"]: r for r in parse.valid_pairs(parsed).collect()}
-    assert sorted(good) == [2, 3, 4, 14, 15, 16, 19, 20]
+    assert sorted(good) == [2, 3, 4, 14, 15, 16, 19, 20, 21] and good[21]["row_id"] is None and good[21]["long_id"] == "99999999999999999999"
     assert good[3]["question1"] == 'a "b", c' and good[3]["question2"] is None and good[4]["question1"] == "line\nbreak" and good[4]["is_duplicate"] == 1
     assert good[14]["question1"] == '"q"' and good[15]["question1"] == "" and good[16]["qid1"] is None and len(good[19]["question1"]) == 200000
     assert good[20]["question1"] == '"' * 50000
@@ -136,10 +136,21 @@ def test_connected_components(spark):
 def test_hubs_are_split(spark):
     edges = [("hub", f"{i}") for i in range(60)] + [("0", "1")]
     both = spark.createDataFrame(edges + [(b, a) for a, b in edges], "src string, dst string")
-    spread = graph.split_hubs(both, 122, least=10)
+    scratch = Scratch(spark)
+    spread, hubs = graph.split_hubs(both, scratch, cap=10)
     most = spread.groupBy("src").count().agg(F.max("count")).first()[0]
-    assert most <= 25 and set(_union_find([tuple(r) for r in spread.collect()]).values()) == {min(["hub", *map(str, range(60))])}
-    assert graph.split_hubs(both, 122) is both
+    assert hubs and most <= 25 and len(set(_union_find([tuple(r) for r in spread.collect()]).values())) == 1
+    assert graph.split_hubs(both, scratch) == (both, False)
+    start = lambda node, level: graph.uniform(node, level, 0)
+    roots = graph.contract_components(both, scratch, start, (0.0, 0.0), cap=10)
+    assert roots.count() == 61 and roots.select("root").distinct().count() == 1
+
+
+def test_ids_of_any_characters(spark):
+    """No id can be taken for a part of a hub: all nodes come back."""
+    edges = [("a\x00b", "c"), ("c", "d"), ("#1=c", "e"), ("=", ""), ("\x00", "\x00")]
+    got = dict(rows_of(graph.connected_components(spark.createDataFrame(edges, "src string, dst string"))))
+    assert got == _union_find(edges)
 
 
 def test_running_total(spark):
