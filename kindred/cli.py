@@ -95,7 +95,7 @@ def train(spark: SparkSession, a: argparse.Namespace) -> int:
 def _scored(spark: SparkSession, a: argparse.Namespace):
     pairs = tables.read_pairs(spark, a.csv).where("is_duplicate in (0, 1)")
     made = model.load(spark, a.model)
-    return made, Scratch(spark).save(made.score(pairs, "row_id").join(pairs.drop(*model.FEATURES), "row_id"))
+    return made, Scratch(spark).save(made.score(pairs, "row_id", keep=[c for c in pairs.columns if c not in {"row_id", *model.FEATURES}]))
 
 
 @command(CSV, OUT, arg("--model", required=True), arg("--method", choices=["sigmoid", "isotonic"], default="isotonic"))

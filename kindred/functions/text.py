@@ -22,6 +22,8 @@ _NON_WORD = re.compile(r"\W+")
 # The characters for which str.isspace() holds, as a character class.
 WHITE_SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
 
 def clean_str(text: str | None) -> str:
     """``clean_text`` of one Python string."""
@@ -54,7 +56,7 @@ def words(clean: Column) -> Column:
 
 def strip_space(text: Column) -> Column:
     """Text without white space of any kind at its ends."""
-    return F.regexp_replace(text, f"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def clean_id(text: Column) -> Column:

@@ -39,13 +39,13 @@ class Isotonic:
     ys: tuple[float, ...]
 
     def apply(self, p: Column) -> Column:
-        """The knots around p are found by counting, so the expression stays flat for any number of knots."""
+        """The knots around p are searched once; the rest are look-ups by place."""
         if len(self.xs) == 1:
             return F.lit(self.ys[0])
         xs, ys = F.lit(list(self.xs)), F.lit(list(self.ys))
-        below = F.greatest(F.lit(1), F.least(F.lit(len(self.xs) - 1), F.size(F.filter(xs, lambda x: x <= p))))
-        x0, x1, y0, y1 = (F.element_at(a, i.cast("int")) for a, i in ((xs, below), (xs, below + 1), (ys, below), (ys, below + 1)))
-        inside = y0 + (y1 - y0) * (p - x0) / (x1 - x0)
+        below = F.greatest(F.lit(0), F.least(F.lit(len(self.xs) - 2), F.size(F.filter(xs, lambda x: x <= p)) - 1))
+        line = lambda i: F.get(ys, i) + (F.get(ys, i + 1) - F.get(ys, i)) * (p - F.get(xs, i)) / (F.get(xs, i + 1) - F.get(xs, i))
+        inside = F.get(F.transform(F.array(below), line), F.lit(0))
         return F.when(p <= self.xs[0], self.ys[0]).when(p >= self.xs[-1], self.ys[-1]).otherwise(inside)
 
 

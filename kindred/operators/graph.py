@@ -7,7 +7,7 @@ what is left. At the end the levels' assignments are composed. Start values come
 shrink chains, stars and meshes alike, and a rerun gives the same table.
 
 Vertices with very many edges are split into parts before the rounds (each part keeps a share of the edges and
-a link to the first part), so no join key holds more than ``cap`` edges.
+a link to the first part), so no join key holds many more than ``cap`` edges.
 """
 
 from __future__ import annotations
@@ -19,7 +19,12 @@ from pyspark.sql import functions as F
 
 from kindred.session import Scratch
 
-_PART = "\x00"
+HUB_EDGES = 20_000
+
+
+def named(node: Column) -> Column:
+    """The name of a vertex in the engine; parts of hubs have names that begin with another character, so no id can be taken for one."""
+    return F.concat(F.lit("="), node.cast("string"))
 
 
 def uniform(node: Column, level: int, seed: int) -> Column:
@@ -28,28 +33,29 @@ def uniform(node: Column, level: int, seed: int) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
-def split_hubs(edges: DataFrame, count: int, least: int = 20_000) -> DataFrame:
-    """Directed edges (src, dst), both directions present, with hubs split into parts of at most about ``cap`` edges.
+def _part(name: Column, number: Column) -> Column:
+    """Part 0 keeps the name; the others are told apart by their number before it."""
+    return F.when(number > 0, F.concat(F.lit("#"), number, name)).otherwise(name)
+
 
-    ``cap`` is at least ``count / 512``, so at most 512 vertices are hubs and their list is small at any size.
+def split_hubs(edges: DataFrame, scratch: Scratch, cap: int = HUB_EDGES) -> tuple[DataFrame, bool]:
+    """Directed edges (src, dst), both directions present, with hubs split into parts of about ``cap`` edges; and whether there were any.
+
+    The hubs are a table that is joined, small or large: there are at most as many as edges divided by ``cap``.
     """
-    cap = max(least, count // 512)
-    if count <= cap:
-        return edges
-    hubs = [(r["src"], -(-r["n"] // cap)) for r in edges.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > cap).collect()]
-    if not hubs:
-        return edges
-    table = edges.sparkSession.createDataFrame(hubs, "hub string, parts long")
+    many = edges.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > cap)
+    hubs, n = scratch.save_counted(many.select(F.col("src").alias("hub"), F.ceil(F.col("n") / cap).cast("long").alias("parts")))
+    if not n:
+        return edges, False
 
     def parted(df: DataFrame, name: str, other: str) -> DataFrame:
-        part = F.pmod(F.xxhash64(other), F.col("parts"))
-        joined = df.join(F.broadcast(table), F.col(name) == F.col("hub"), "left")
-        return joined.withColumn(name, F.when(part > 0, F.concat_ws(_PART, name, part)).otherwise(F.col(name))).drop("hub", "parts")
+        joined = df.join(hubs, F.col(name) == F.col("hub"), "left")
+        return joined.withColumn(name, _part(F.col(name), F.pmod(F.xxhash64(other), F.col("parts")))).drop("hub", "parts")
 
     spread = parted(parted(edges.withColumn("_dst", F.col("dst")), "dst", "src"), "src", "_dst").drop("_dst")
-    links = table.where("parts > 1").select("hub", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)).alias("i"))
-    links = links.select(F.col("hub").alias("src"), F.concat_ws(_PART, "hub", "i").alias("dst"))
-    return spread.unionByName(links).unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    links = hubs.where("parts > 1").select("hub", F.explode(F.sequence(F.lit(1).cast("long"), F.col("parts") - 1)).alias("i"))
+    links = links.select(F.col("hub").alias("src"), _part(F.col("hub"), F.col("i")).alias("dst"))
+    return spread.unionByName(links).unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), True
 
 
 def _round(labels: DataFrame, edges: DataFrame, hop: float) -> DataFrame:
@@ -60,46 +66,59 @@ def _round(labels: DataFrame, edges: DataFrame, hop: float) -> DataFrame:
     return labels.unionByName(sent).groupBy("node").agg(F.min("label").alias("label"))
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    ends = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return edges.select(F.inline(ends)).distinct()
+
+
 def contract_components(
-    edges: DataFrame, scratch: Scratch, start: Callable[[Column, int], Column], hops: Sequence[float], max_levels: int = 200
+    edges: DataFrame, scratch: Scratch, start: Callable[[Column, int], Column], hops: Sequence[float], max_levels: int = 200, cap: int = HUB_EDGES
 ) -> DataFrame:
     """(node, root) for every vertex of ``edges`` (src, dst: strings without null); equal root means linked.
 
-    Loops and repeated edges are allowed; an empty table gives an empty one. Raises if edges are left after
-    ``max_levels`` levels, which hashed start values make all but impossible.
+    Loops and repeated edges are allowed, ids may hold any character; an empty table gives an empty one. Raises if edges are
+    left after ``max_levels`` levels, which hashed start values make all but impossible.
     """
-    pairs = edges.select(F.col("src").cast("string"), F.col("dst").cast("string")).where(F.col("src").isNotNull() & F.col("dst").isNotNull())
-    loops = pairs.where("src = dst").select(F.col("src").alias("node")).distinct()
-    pairs = pairs.where("src <> dst")
-    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    current = scratch.save(both)
+    given = edges.select(named(F.col("src")).alias("src"), named(F.col("dst")).alias("dst")).where("src is not null and dst is not null")
+    first, count = scratch.save_counted(both_ways(given), F.col("src") != F.col("dst"))
+    loops = first.where("src = dst").select(F.col("src").alias("node"))
+    current = first.where("src <> dst")
+    label = lambda c, level: F.struct(start(c, level).alias("at"), c.alias("center"))
     levels: list[DataFrame] = []
     for level in range(max_levels):
-        count = current.count()
         if not count:
             break
-        spread = split_hubs(current, count)
-        labels = spread.select(F.col("src").alias("node")).distinct()
-        labels = labels.select("node", F.struct(start(F.col("node"), level).alias("at"), F.col("node").alias("center")).alias("label"))
-        for hop in hops:
+        spread, hubs = split_hubs(current, scratch, cap) if count > cap else (current, False)
+        if hubs:
+            spread = scratch.save(spread)
+        # the first round needs no join: a neighbour's start value follows from its name
+        come = F.min(F.struct((start(F.col("src"), level) + hops[0]).alias("at"), F.col("src").alias("center")))
+        labels = spread.groupBy(F.col("dst").alias("node")).agg(come.alias("label"))
+        labels = labels.select("node", F.least("label", label(F.col("node"), level)).alias("label"))
+        for hop in hops[1:]:
             labels = _round(labels, spread, hop)
         found = scratch.save(labels.select("node", F.col("label.center").alias("center")))
         levels.append(found)
         left, right = found.toDF("src", "a"), found.toDF("dst", "b")
-        crossing = spread.join(left, "src").join(right, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-        following = scratch.save(crossing)
-        scratch.drop(current)
+        crossing = spread.where("src < dst").join(left, "src").join(right, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        following, count = scratch.save_counted(both_ways(crossing))
+        if hubs:
+            scratch.drop(spread)
+        if level:
+            scratch.drop(current)
         current = following
     else:
         raise RuntimeError(f"edges are left after {max_levels} levels")
+    bare = lambda c: F.substr(c, F.lit(2))
     if not levels:
-        return loops.select("node", F.col("node").alias("root"))
+        return loops.select(bare("node").alias("node"), bare("node").alias("root"))
     roots = levels[-1].toDF("node", "root")
     for found in reversed(levels[:-1]):
         above = roots.toDF("center", "root")
         roots = found.join(above, "center", "left").select("node", F.coalesce("root", "center").alias("root"))
     alone = loops.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
-    return roots.where(~F.col("node").contains(_PART)).unionByName(alone)
+    every = roots.where(F.col("node").startswith("=")).unionByName(alone)
+    return every.select(bare("node").alias("node"), "root")
 
 
 def smallest_labels(roots: DataFrame, scratch: Scratch) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import cached_property
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -17,7 +19,7 @@ from kindred.functions.features import lexical_features, named_values
 from kindred.functions.text import clean_text
 from kindred.operators.calibration import Isotonic, Sigmoid, from_json, to_json
 from kindred.operators.metrics import GRID, select_threshold, threshold_sweep
-from kindred.operators.tfidf import MAX_FEATURES, fit_vocabulary, pair_cosines
+from kindred.operators.tfidf import MAX_FEATURES, Vocabulary, fit_vocabulary, idf_table, pair_cosine
 
 FEATURES = ["cos", "jaccard", "len_ratio", "abs_len_diff", "len_sum"]
 MAX_PAIRS, MAX_CHARACTERS = 256, 8192  # limits of one request
@@ -30,11 +32,13 @@ def corpus(pairs: DataFrame, left: str = "question1", right: str = "question2")
     return side(left).unionByName(side(right))
 
 
-def pair_features(pairs: DataFrame, vocabulary: DataFrame, key: str, left: str = "question1", right: str = "question2") -> DataFrame:
-    """(key, cos, jaccard, len_ratio, abs_len_diff, len_sum)."""
-    texts = pairs.select(key, F.coalesce(F.col(left), F.lit("nan")).alias("_l"), F.coalesce(F.col(right), F.lit("nan")).alias("_r"))
-    lexical = texts.select(key, *[v.cast("double").alias(n) for n, v in lexical_features(clean_text(F.col("_l")), clean_text(F.col("_r"))).items()])
-    return pair_cosines(texts, vocabulary, key, "_l", "_r").join(lexical, key).select(key, *FEATURES)
+def pair_features(pairs: DataFrame, vocabulary: Vocabulary, key: str, left: str = "question1", right: str = "question2", keep: Sequence[str] = ()) -> DataFrame:
+    """(key, the columns to keep, cos, jaccard, len_ratio, abs_len_diff, len_sum): each text is cleaned once, rows stay where they are."""
+    side = lambda c: clean_text(F.coalesce(F.col(c), F.lit("nan")))
+    texts = pairs.select(key, *keep, side(left).alias("_a"), side(right).alias("_b"))
+    a, b = F.col("_a"), F.col("_b")
+    lexical = [v.cast("double").alias(n) for n, v in lexical_features(a, b).items()]
+    return texts.select(key, *keep, pair_cosine(vocabulary, a, b).alias("cos"), *lexical)
 
 
 @dataclass
@@ -45,13 +49,18 @@ class DuplicateModel:
     threshold: float | None = None
     meta: dict = field(default_factory=dict)
 
-    def score(self, pairs: DataFrame, key: str, left: str = "question1", right: str = "question2") -> DataFrame:
-        """(key, raw_proba, calibrated_proba, proba): calibrated is null without a calibrator, proba is the one to decide by."""
-        vectors = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(pair_features(pairs, self.vocabulary, key, left, right))
+    @cached_property
+    def idf(self) -> dict[str, float]:
+        """The vocabulary on the driver, read once."""
+        return idf_table(self.vocabulary)
+
+    def score(self, pairs: DataFrame, key: str, left: str = "question1", right: str = "question2", keep: Sequence[str] = ()) -> DataFrame:
+        """(key, kept columns, features, raw_proba, calibrated_proba, proba): calibrated is null without a calibrator, proba is the one to decide by."""
+        vectors = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(pair_features(pairs, self.idf, key, left, right, keep))
         scored = self.trees.transform(vectors).withColumn("raw_proba", vector_to_array("probability")[1])
         calibrated = self.calibrator.apply(F.col("raw_proba")) if self.calibrator else F.lit(None).cast("double")
         scored = scored.withColumn("calibrated_proba", calibrated)
-        return scored.select(key, *FEATURES, "raw_proba", "calibrated_proba", F.coalesce("calibrated_proba", "raw_proba").alias("proba"))
+        return scored.select(key, *keep, *FEATURES, "raw_proba", "calibrated_proba", F.coalesce("calibrated_proba", "raw_proba").alias("proba"))
 
 
 def best_round(losses: list[float], patience: int = PATIENCE) -> int:
@@ -91,12 +100,10 @@ def train(
         raise ValueError(f"columns {missing} are missing")
     labelled = pairs.where(F.col(label).isin(0, 1))
     vocabulary = fit_vocabulary(corpus(labelled, left, right), "text", max_features).select("term", "idf")
-    spark = pairs.sparkSession
-    vocabulary = spark.createDataFrame([tuple(r) for r in vocabulary.collect()], "term string, idf double")  # at most max_features
+    vocabulary = pairs.sparkSession.createDataFrame(list(idf_table(vocabulary).items()), "term string, idf double")
+    idf = idf_table(vocabulary)
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="_features")
-    to_vectors = lambda df: assemble.transform(
-        pair_features(df, vocabulary, key, left, right).join(df.select(key, F.col(label).cast("double").alias("_label")), key)
-    )
+    to_vectors = lambda df: assemble.transform(pair_features(df.withColumn("_label", F.col(label).cast("double")), idf, key, left, right, ["_label"]))
     fitting = to_vectors(labelled).persist()
     gbt = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=seed)
     model = DuplicateModel(vocabulary, gbt.fit(fitting))
@@ -105,7 +112,7 @@ def train(
         held = to_vectors(evaluation.where(F.col(label).isin(0, 1))).persist()
         model.trees = first_trees(model.trees, best_round(model.trees.evaluateEachIteration(held)))
         held.unpersist()
-        scored = model.score(evaluation, key, left, right).join(evaluation.select(key, F.col(label)), key).where(F.col(label).isin(0, 1))
+        scored = model.score(evaluation.where(F.col(label).isin(0, 1)), key, left, right, [label])
         chosen = select_threshold(threshold_sweep(scored, label, "proba", GRID), optimize_for).first()
         model.threshold = chosen["threshold"] if chosen else None
     model.meta = {"features": FEATURES, "trees": model.trees.getNumTrees, "optimize_for": optimize_for, "created_at": datetime.now(timezone.utc).isoformat()}

@@ -1,21 +1,22 @@
 """Top-k retrieval of catalogue entries for all queries at once, and reranking.
 
-Sparse search keeps the semantics of a full ranking by (-score, id), zero scores included, without forming all pairs: entries that
-share no term with a query all score 0, so only the k smallest ids of the catalogue can fill up its list. Queries and entries are
-searched in blocks; each pair of blocks multiplies one set of posting arrays, and only k hits a query leave it.
+Sparse search keeps the semantics of a full ranking by (-score, id), zero scores included: entries that share no term with a query
+all score 0, so only the k smallest ids of the catalogue can fill up its list. The stated queries meet all entries in blocks: each
+pair of blocks multiplies one set of posting arrays, and only k hits a query leave it. The work is the product of queries and entries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.text import strip_space
-from kindred.operators.tfidf import MAX_FEATURES, fit_vocabulary, weighted_terms
+from kindred.operators.tfidf import MAX_FEATURES, fit_vocabulary, idf_table, text_vectors
 from kindred.session import Scratch
 
 DIGITS = 9  # scores are rounded before they are ranked, so sums in another order rank alike
@@ -43,12 +44,6 @@ def best_per_query(hits: DataFrame, k: int, score: str = "score") -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _blocks(vectors: DataFrame, key: str, blocks: int) -> DataFrame:
-    """(block, ids, terms, weights) rows per text: one row holds one text's vector."""
-    rows = vectors.groupBy(key).agg(F.collect_list(F.struct("idx", "weight")).alias("v"))  # the terms of one text
-    return rows.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), F.col(key).alias("id"), F.col("v.idx").alias("terms"), F.col("v.weight").alias("weights"))
-
-
 def _search_blocks(k: int, width: int):
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Queries ``left`` against entries ``right``."""
@@ -86,34 +81,58 @@ def _search_blocks(k: int, width: int):
     return search
 
 
+@dataclass
+class TfidfIndex:
+    """A fitted catalogue: the vocabulary, and a table of vectors (question_id, terms, weights) of all usable entries."""
+
+    idf: dict[str, float]
+    entries: DataFrame
+    size: int
+
+    def save(self, path: str) -> None:
+        spark = self.entries.sparkSession
+        spark.createDataFrame(list(self.idf.items()), "term string, idf double").write.mode("errorifexists").parquet(f"{path}/vocabulary")
+        self.entries.write.mode("errorifexists").parquet(f"{path}/entries")
+
+
+def load_index(spark: SparkSession, path: str) -> TfidfIndex:
+    entries = spark.read.parquet(f"{path}/entries")
+    return TfidfIndex(idf_table(spark.read.parquet(f"{path}/vocabulary")), entries, entries.count())
+
+
+def fit_index(catalog: DataFrame, max_features: int = MAX_FEATURES, scratch: Scratch | None = None) -> TfidfIndex:
+    """The index of a catalogue (question_id, question): null and blank ids or texts are left out, a text without tokens counts as the
+    text "empty". Entries with a repeated id count once, by the smallest text.
+    """
+    scratch = scratch or Scratch(catalog.sparkSession)
+    entries, size = scratch.save_counted(usable_catalog(catalog).groupBy("question_id").agg(F.min("question").alias("question")))
+    idf = idf_table(fit_vocabulary(entries, "question", max_features, keep_blank=True))
+    return TfidfIndex(idf, scratch.save(text_vectors(entries, idf, "question_id", "question", "empty")), size)
+
+
 def tfidf_search(
-    queries: DataFrame, catalog: DataFrame, k: int = 10, max_features: int = MAX_FEATURES, block_rows: int = 8192, scratch: Scratch | None = None
+    queries: DataFrame, catalog: DataFrame | TfidfIndex, k: int = 10, max_features: int = MAX_FEATURES, block_rows: int = 8192, scratch: Scratch | None = None
 ) -> DataFrame:
     """(query, question_id, score, rank) for every distinct query text: the k entries of highest cosine, zero scores included.
 
-    ``queries``: (query); null queries are left out, blank ones score 0 everywhere. ``catalog``: (question_id, question); null and blank
-    ids or texts are left out, a text without tokens counts as the text "empty". Entries with a repeated id count once,
-    by the smallest text. An empty catalogue gives no hits.
+    ``queries``: (query); null queries are left out, blank ones score 0 everywhere. ``catalog``: an index, or what ``fit_index`` takes. An
+    empty catalogue gives no hits.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     scratch = scratch or Scratch(queries.sparkSession)
-    entries = scratch.save(usable_catalog(catalog).groupBy("question_id").agg(F.min("question").alias("question")))
-    vocabulary = scratch.save(fit_vocabulary(entries, "question", max_features, keep_blank=True).select("term", "idf"))
-    words = [(r["term"], i) for i, r in enumerate(vocabulary.select("term").orderBy("term").collect())]  # at most max_features
-    index = queries.sparkSession.createDataFrame(words, "term string, idx int")
-    asked = queries.select("query").where("query is not null").distinct()
-    numbered = lambda v: v.join(F.broadcast(index), "term")
-    left = numbered(weighted_terms(asked, vocabulary, "query", "query"))
-    right = numbered(weighted_terms(entries, vocabulary, "question_id", "question", "empty"))
-    n_left, n_right = (max(1, -(-df.count() // block_rows)) for df in (asked, entries))
-    left, right = _blocks(left, "query", n_left), _blocks(right, "question_id", n_right)
+    index = catalog if isinstance(catalog, TfidfIndex) else fit_index(catalog, max_features, scratch)
+    asked, n_asked = scratch.save_counted(queries.select("query").where("query is not null").distinct())
+    n_left, n_right = (max(1, -(-n // block_rows)) for n in (n_asked, index.size))
+    some = lambda df, key, blocks: df.where(F.size("terms") > 0).select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), F.col(key).alias("id"), "terms", "weights")
+    left, right = some(text_vectors(asked, index.idf, "query", "query"), "query", n_left), some(index.entries, "question_id", n_right)
     each = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     left = left.select(F.col("block").alias("a"), each("b", n_right), "id", "terms", "weights")
     right = right.select(each("a", n_left), F.col("block").alias("b"), "id", "terms", "weights")
-    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(lambda x, y: _search_blocks(k, len(words))(x, y), "query string, question_id string, score double")
+    search = _search_blocks(k, len(index.idf))
+    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(lambda x, y: search(x, y), "query string, question_id string, score double")
     hits = met if n_right == 1 else best_per_query(met, k).drop("rank")
-    first = entries.select("question_id").orderBy("question_id").limit(k)
+    first = index.entries.select("question_id").orderBy("question_id").limit(k)
     fill = asked.crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))  # k rows
     every = scratch.save(hits.unionByName(fill)).groupBy("query", "question_id").agg(F.max("score").alias("score"))
     return best_per_query(every, k)

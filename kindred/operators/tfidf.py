@@ -7,11 +7,13 @@ divided by their length. The vocabulary is bounded by ``max_features``, so it is
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -45,45 +47,94 @@ def fit_vocabulary(texts: DataFrame, column: str = "text", max_features: int = M
     return top.crossJoin(F.broadcast(total)).select("term", "tf", "df", idf.alias("idf"))  # one row of totals
 
 
-def weighted_terms(texts: DataFrame, vocabulary: DataFrame, key: str, column: str, blank: str | None = None) -> DataFrame:
-    """(key, term, weight): the normalised vectors of a column of raw texts, entries other than 0 only.
+Vocabulary = DataFrame | dict[str, float]
+
+
+def idf_table(vocabulary: Vocabulary) -> dict[str, float]:
+    """Term to idf in the order of terms; at most ``max_features`` entries."""
+    return vocabulary if isinstance(vocabulary, dict) else {r["term"]: r["idf"] for r in vocabulary.select("term", "idf").orderBy("term").collect()}
+
+
+class TermWeights:
+    """Vectors of batches of clean texts, all of a batch at once: no loop over rows."""
+
+    def __init__(self, idf: dict[str, float]):
+        self.names = pa.array(list(idf), pa.string())
+        self.idf = np.fromiter(idf.values(), dtype=np.float64, count=len(idf))
+
+    def __call__(self, clean: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, weight) of the normalised vectors, ordered by row and term."""
+        split = pc.split_pattern(clean, " ")
+        words, row = split.flatten(), pc.list_parent_indices(split)
+        long = pc.greater_equal(pc.utf8_length(words), 2)
+        words, row = words.filter(long), row.filter(long).to_numpy(zero_copy_only=False)
+        found, rows = [pc.index_in(words, value_set=self.names)], [row]
+        if len(words) > 1:
+            same = pa.array(row[1:] == row[:-1])
+            pairs = pc.binary_join_element_wise(words[:-1].filter(same), words[1:].filter(same), " ")
+            found.append(pc.index_in(pairs, value_set=self.names))
+            rows.append(row[:-1][same.to_numpy(zero_copy_only=False)])
+        term = np.concatenate([pc.fill_null(f, -1).to_numpy(zero_copy_only=False) for f in found])
+        row = np.concatenate(rows)
+        known = term >= 0
+        code, n = np.unique(row[known].astype(np.int64) * max(1, len(self.idf)) + term[known], return_counts=True)
+        row, term = np.divmod(code, max(1, len(self.idf)))
+        weight = n * self.idf[term]
+        length = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(clean)))
+        return row, term, weight / length[row] if len(row) else weight
 
-    ``blank``: what a text without tokens counts as. Texts without a known term have no rows. Keys are unique.
+
+def _arrow(texts: pd.Series) -> pa.Array:
+    return pa.Array.from_pandas(texts, type=pa.string())
+
+
+def text_vectors(texts: DataFrame, vocabulary: Vocabulary, key: str, column: str, blank: str | None = None) -> DataFrame:
+    """(key, terms, weights): the normalised vector of each raw text, entries other than 0, terms by their place in the sorted vocabulary.
+
+    ``blank``: what a text without tokens counts as. Texts without a known term have empty arrays. The vocabulary goes to every
+    executor, so a text is taken apart where it lies, without a shuffle.
     """
+    shared = texts.sparkSession.sparkContext.broadcast(idf_table(vocabulary))
     clean = clean_text(F.col(column))
     if blank:
         clean = F.when(clean == "", blank).otherwise(clean)
-    known = texts.select(key, F.explode(terms(clean)).alias("term")).join(F.broadcast(vocabulary.select("term", "idf")), "term")
-    counts = known.repartition(F.col(key)).groupBy(key, "term", "idf").agg(F.count("*").alias("n")).withColumn("w", F.col("n") * F.col("idf"))
-    gathered = counts.groupBy(key).agg(F.sum(F.col("w") * F.col("w")).alias("_sq"), F.collect_list(F.struct("term", "w")).alias("_ts"))
-    spread = gathered.select(key, F.sqrt("_sq").alias("_n"), F.explode("_ts").alias("_t"))  # a list holds the terms of one text
-    return spread.select(key, F.col("_t.term").alias("term"), (F.col("_t.w") / F.col("_n")).alias("weight"))
 
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh = TermWeights(shared.value)
+        for batch in batches:
+            row, term, weight = weigh(batch.column(1).cast(pa.string()))
+            ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (term.astype(np.int32), weight)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["k", "terms", "weights"])
 
-def pair_cosines(pairs: DataFrame, vocabulary: DataFrame, key: str, left: str, right: str) -> DataFrame:
-    """(key, cos) of two raw text columns; 0 if either text has no known term.
+    given = texts.select(F.col(key).alias("k"), clean.alias("c"))
+    return given.mapInArrow(vectors, f"k {dict(given.dtypes)['k']}, terms array<int>, weights array<double>").withColumnRenamed("k", key)
 
-    The vocabulary (at most ``max_features`` terms) goes to every executor, so a row is scored where it lies: Arrow batches of clean
-    texts, no shuffle, instead of some 70 exploded rows a pair.
-    """
-    shared = pairs.sparkSession.sparkContext.broadcast({r["term"]: r["idf"] for r in vocabulary.select("term", "idf").collect()})
 
-    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-        idf = shared.value
-        vectors = [(_vector(x, idf), _vector(y, idf)) for x, y in zip(a, b, strict=True)]
-        return pd.Series([_cosine(x, y) for x, y in vectors], dtype="float64")
+def weighted_terms(texts: DataFrame, vocabulary: DataFrame, key: str, column: str, blank: str | None = None) -> DataFrame:
+    """(key, term, weight): the entries of ``text_vectors`` as rows."""
+    idf = idf_table(vocabulary)
+    names = F.lit(list(idf)) if idf else F.array().cast("array<string>")
+    entries = text_vectors(texts, idf, key, column, blank).select(key, F.explode(F.arrays_zip("terms", "weights")).alias("e"))
+    return entries.select(key, F.get(names, F.col("e.terms")).alias("term"), F.col("e.weights").alias("weight"))
+
 
-    scored = F.pandas_udf(cosine, DoubleType())
-    return pairs.select(key, clean_text(F.col(left)).alias("_a"), clean_text(F.col(right)).alias("_b")).select(key, scored("_a", "_b").alias("cos"))
+def pair_cosine(vocabulary: Vocabulary, left: Column, right: Column) -> Column:
+    """Cosine of two clean texts of a row; 0 if either has no known term."""
+    shared = SparkSession.active().sparkContext.broadcast(idf_table(vocabulary))
 
+    def cosines(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        weigh = TermWeights(shared.value)
+        width = max(1, len(shared.value))
+        for a, b in batches:
+            (ra, ta, wa), (rb, tb, wb) = weigh(_arrow(a)), weigh(_arrow(b))
+            _, i, j = np.intersect1d(ra * width + ta, rb * width + tb, assume_unique=True, return_indices=True)
+            yield pd.Series(np.bincount(ra[i], weights=wa[i] * wb[j], minlength=len(a)))
 
-def _vector(clean: str, idf: dict[str, float]) -> dict[str, float]:
-    long = [w for w in clean.split(" ") if len(w) >= 2]
-    found = Counter(t for t in [*long, *map(" ".join, zip(long, long[1:]))] if t in idf)
-    return {t: n * idf[t] for t, n in found.items()}
+    return F.pandas_udf(cosines, DoubleType())(left, right)
 
 
-def _cosine(x: dict[str, float], y: dict[str, float]) -> float:
-    if not x or not y:
-        return 0.0
-    return sum(v * y[t] for t, v in x.items() if t in y) / math.sqrt(sum(v * v for v in x.values())) / math.sqrt(sum(v * v for v in y.values()))
+def pair_cosines(pairs: DataFrame, vocabulary: Vocabulary, key: str, left: str, right: str) -> DataFrame:
+    """(key, cos) of two raw text columns, scored where the rows lie, without a shuffle."""
+    texts = pairs.select(key, clean_text(F.col(left)).alias("_a"), clean_text(F.col(right)).alias("_b"))
+    return texts.select(key, pair_cosine(vocabulary, F.col("_a"), F.col("_b")).alias("cos"))

@@ -9,8 +9,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "kindred", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,14 +54,14 @@ class Scratch:
     """Tables of one operator run in the shared folder.
 
     ``save`` writes a DataFrame and returns it read back (its lineage is one scan); ``drop`` removes a table
-    that later steps no longer read. What is left goes when the process ends.
+    that later steps no longer read. What is left goes with ``close``, at the latest when the process ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/kindred-{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
+        self.paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
         atexit.register(self.close)
 
     def save(self, df: DataFrame) -> DataFrame:
@@ -67,11 +69,17 @@ class Scratch:
         path = f"{self.root}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(back)] = path
+        self.paths[back] = path
         return back
 
+    def save_counted(self, df: DataFrame, which: Column | None = None) -> tuple[DataFrame, int]:
+        """``save``, and how many rows were written (of those for which ``which`` holds); counted by the write itself."""
+        seen = Observation()
+        counted = F.count(F.lit(1) if which is None else F.when(which, 1))
+        return self.save(df.observe(seen, counted.alias("n"))), seen.get["n"]
+
     def drop(self, df: DataFrame) -> None:
-        path = self.paths.pop(id(df), None)
+        path = self.paths.pop(df, None)
         if path:
             self._delete(path)
 
