@@ -25,6 +25,12 @@ keys AS (SELECT row_id, least(c1, c2) AS lo, greatest(c1, c2) AS hi FROM texts),
 firsts AS (SELECT row_id, min(row_id) OVER (PARTITION BY lo, hi) AS kept, count(*) OVER (PARTITION BY lo, hi) AS n FROM keys)"""
 
 SQL = {
+    "p1_found": """WITH given AS (SELECT question_id, embedding::DOUBLE[] AS e, len(embedding) AS n FROM catalog_vectors WHERE question_id IS NOT NULL AND embedding IS NOT NULL),
+width AS (SELECT n FROM given GROUP BY n ORDER BY count(*) DESC, n LIMIT 1),
+v AS MATERIALIZED (SELECT question_id, e FROM given JOIN width USING (n) WHERE list_inner_product(e, e) > 0 AND isfinite(list_inner_product(e, e))),
+placed AS (SELECT a.question_id AS x, b.question_id AS y, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.question_id <> b.question_id
+  QUALIFY row_number() OVER (PARTITION BY a.question_id ORDER BY c DESC, b.question_id) <= 10)
+SELECT DISTINCT least(x, y) AS question_id_a, greatest(x, y) AS question_id_b FROM placed WHERE c >= 0.85""",
     "p3_found": f"{_OVERLAPS} SELECT least(train_key, other_key) AS row_id_a, greatest(train_key, other_key) AS row_id_b FROM pairs",
     "p3_report": f"""{_OVERLAPS}, best AS (SELECT other_key, count(*) AS n, max(similarity) AS s FROM pairs GROUP BY other_key)
 SELECT split, lower(trim(source)) AS source, sum(n)::BIGINT AS n_pairs, count(*) AS n_records, count(*) FILTER (s > 1 - 1e-9) AS n_same
