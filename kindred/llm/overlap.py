@@ -55,7 +55,7 @@ def parity_sketches(hashes: np.ndarray, places: np.ndarray, starts: np.ndarray)
     return np.bitwise_xor.reduceat(bit[places], starts)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
@@ -69,8 +69,8 @@ def band_keys(hashes: np.ndarray, places: np.ndarray, starts: np.ndarray, bands:
         key = np.full(len(starts), band + 1, dtype=np.uint64)
         for _ in range(rows):
             salt = rng.integers(1, 1 << 63, dtype=np.uint64)
-            ranks = _mixed(hashes ^ salt)
-            key = _mixed(key * np.uint64(31) + np.minimum.reduceat(ranks[places], starts))
+            ranks = mixed(hashes ^ salt)
+            key = mixed(key * np.uint64(31) + np.minimum.reduceat(ranks[places], starts))
         keys[:, band] = key
     return keys
 
