@@ -10,6 +10,7 @@ left is verified by exact Jaccard similarity and expanded to record pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -106,16 +107,19 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(left) + F.size(right) - both)
 
 
-def split_overlaps(
+@dataclass
+class Overlaps:
+    """What the search leaves: records by set, and similar sets of different sides; equal sets are pairs of a set with itself."""
+
+    records: DataFrame  # (key, train, set_id)
+    pairs: DataFrame  # (a, b, similarity): a stands in training, b in another split
+
+
+def overlapping_sets(
     df: DataFrame, key: str, split: str, fields: list[str], train: str = "train", threshold: float = 0.8, width: int = 1,
     bands: int = 14, rows: int = 5, seed: int = 11, scratch: Scratch | None = None,
-) -> DataFrame:
-    """(train_key, other_key, similarity): records of ``train`` and of another split with similar sets.
-
-    Sets of all ``fields`` taken together; records without any word, with a null split or a null key take no part.
-    Records with equal sets are found always; a pair at exactly 0.8 is missed with a chance of about 0.4 %, one at
-    0.85 of 0.01 %. Empty tables give empty results; extra columns are ignored; keys are longs and unique.
-    """
+) -> Overlaps:
+    """The sets of ``fields`` taken together of records of ``train`` and of other splits that are similar; nothing is expanded to records yet."""
     scratch = scratch or Scratch(df.sparkSession)
     rows_ = df.where(F.col(split).isNotNull() & F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias("key"), (F.col(split) == train).alias("train"), shingle_set([F.col(c) for c in fields], width).alias("shingles")
@@ -130,18 +134,36 @@ def split_overlaps(
     candidates = scratch.save(met.select("a", "b").distinct())
     left, right = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("a_set")), sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("b_set"))
     similar = candidates.join(left, "a").join(right, "b").withColumn("similarity", jaccard(F.col("a_set"), F.col("b_set")))
-    similar = similar.where(F.col("similarity") >= threshold - 1e-9).select("a_set", "b_set", "similarity")
-    equal = sets.where("in_train and in_other").select(F.col("shingles").alias("a_set"), F.col("shingles").alias("b_set"), F.lit(1.0).alias("similarity"))
-    pairs = scratch.save(similar.unionByName(equal))
-    trains = rows_.where("train").select(F.col("shingles").alias("a_set"), F.col("key").alias("train_key"))
-    others = rows_.where("not train").select(F.col("shingles").alias("b_set"), F.col("key").alias("other_key"))
-    return pairs.join(trains, "a_set").join(others, "b_set").select("train_key", "other_key", "similarity")
-
-
-def overlap_report(pairs: DataFrame, df: DataFrame, key: str, split: str, source: str) -> DataFrame:
-    """Per split and source of the records outside training: pairs, and distinct records with a partner."""
-    per_record = pairs.groupBy("other_key").agg(F.count("*").alias("_pairs"), F.max("similarity").alias("_best"))
-    named = df.select(F.col(key).alias("other_key"), F.col(split).alias("split"), F.lower(F.trim(F.col(source))).alias("source"))
-    return per_record.join(named, "other_key").groupBy("split", "source").agg(
-        F.sum("_pairs").alias("n_pairs"), F.count("*").alias("n_records"), F.sum((F.col("_best") > 1 - 1e-9).cast("long")).alias("n_same")
+    similar = similar.where(F.col("similarity") >= threshold - 1e-9).select("a", "b", "similarity")
+    equal = sets.where("in_train and in_other").select(F.col("set_id").alias("a"), F.col("set_id").alias("b"), F.lit(1.0).alias("similarity"))
+    records = rows_.join(sets.select("shingles", "set_id"), "shingles").select("key", "train", "set_id")
+    return Overlaps(scratch.save(records), scratch.save(similar.unionByName(equal)))
+
+
+def split_overlaps(df: DataFrame, key: str, split: str, fields: list[str], train: str = "train", scratch: Scratch | None = None, **options) -> DataFrame:
+    """(train_key, other_key, similarity): records of ``train`` and of another split with similar sets.
+
+    Sets of all ``fields`` taken together; records without any word, with a null split or a null key take no part.
+    Records with equal sets are found always; a pair at exactly 0.8 is missed with a chance of about 0.4 %, one at
+    0.85 of 0.01 %. Empty tables give empty results; extra columns are ignored; keys are longs and unique.
+    """
+    found = overlapping_sets(df, key, split, fields, train, scratch=scratch, **options)
+    trains = found.records.where("train").select(F.col("set_id").alias("a"), F.col("key").alias("train_key"))
+    others = found.records.where("not train").select(F.col("set_id").alias("b"), F.col("key").alias("other_key"))
+    return found.pairs.join(trains, "a").join(others, "b").select("train_key", "other_key", "similarity")
+
+
+def overlap_report(df: DataFrame, key: str, split: str, source: str, fields: list[str], train: str = "train", scratch: Scratch | None = None, **options) -> DataFrame:
+    """(split, source, n_pairs, n_records, n_same) of the records outside training: pairs, distinct records with a partner, and those with an equal one.
+
+    Counted by sets: partners of a set are summed from the counts of its similar sets, and multiplied by its records; no pair of records is made.
+    """
+    found = overlapping_sets(df, key, split, fields, train, scratch=scratch, **options)
+    trained = found.records.where("train").groupBy(F.col("set_id").alias("a")).agg(F.count("*").alias("_n"))
+    partners = found.pairs.join(trained, "a").groupBy("b").agg(F.sum("_n").alias("_pairs"), F.max("similarity").alias("_best"))
+    named = df.select(F.col(key).cast("long").alias("key"), F.col(split).alias("split"), F.lower(F.trim(F.col(source))).alias("source"))
+    others = found.records.where("not train").select("key", F.col("set_id").alias("b")).join(named, "key")
+    counted = others.groupBy("b", "split", "source").agg(F.count("*").alias("_n"))
+    return counted.join(partners, "b").groupBy("split", "source").agg(
+        F.sum(F.col("_n") * F.col("_pairs")).alias("n_pairs"), F.sum("_n").alias("n_records"), F.sum(F.when(F.col("_best") > 1 - 1e-9, F.col("_n")).otherwise(0)).alias("n_same")
     )

@@ -33,18 +33,16 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return pair.distinct()
 
 
-def _pairs_of(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = _table(spark, sf, "smoke_pairs").select("row_id", "split", "question1", "question2")
-    return split_overlaps(pairs, "row_id", "split", ["question1", "question2"])
+_OVERLAP = ["question1", "question2"]
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = _pairs_of(spark, sf)
+    pairs = split_overlaps(_table(spark, sf, "smoke_pairs").select("row_id", "split", *_OVERLAP), "row_id", "split", _OVERLAP)
     return pairs.select(F.least("train_key", "other_key").alias("row_id_a"), F.greatest("train_key", "other_key").alias("row_id_b"))
 
 
 def p3_report(spark: SparkSession, sf: str) -> DataFrame:
-    return overlap_report(_pairs_of(spark, sf), _table(spark, sf, "smoke_pairs"), "row_id", "split", "source")
+    return overlap_report(_table(spark, sf, "smoke_pairs").select("row_id", "split", "source", *_OVERLAP), "row_id", "split", "source", _OVERLAP)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
