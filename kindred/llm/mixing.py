@@ -40,6 +40,23 @@ def sainte_lague(shares: dict[str, float], seats: int, most: dict[str, int] | No
     return got
 
 
+def shard_quotas(quota: dict[str, int], shards: int) -> dict[str, list[int]]:
+    """Blocks of each source in each shard: shards get equal numbers of blocks, up to one, and each is a mix as near to the whole as whole numbers allow.
+
+    A shard is apportioned on what the earlier ones left, so rounding doesn't add up and every block has a place.
+    """
+    left = dict(quota)
+    out: dict[str, list[int]] = {n: [] for n in quota}
+    for shard in range(shards):
+        total = sum(left.values())
+        seats = -(-total // (shards - shard))
+        got = sainte_lague({n: float(v) for n, v in left.items()}, seats, left) if total else dict.fromkeys(left, 0)
+        for n in quota:
+            out[n].append(got[n])
+            left[n] -= got[n]
+    return out
+
+
 def mix(
     docs: DataFrame, key: str, source: str, tokens: str, targets: DataFrame, block_tokens: int = 512, shards: int = 8, seed: int = 17, scratch: Scratch | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -67,21 +84,26 @@ def mix(
     at = F.floor((F.col("_before") + F.col("n_tokens") / 2) * F.col("_n") / F.col("_t"))
     blocks = ordered.join(F.broadcast(sizes), "source").select("_key", "source", "n_tokens", F.least(at, F.col("_n") - 1).alias("block"))
     live = {s: v for s, v in share.items() if s in stock}
-    plan, seats = [], 0
+    plan, places = [], []
     if live:
         total = sum(live.values())
         seats = int(min(stock[s][1] * times[s] * total / v for s, v in live.items()) / block_tokens)
         quota = sainte_lague(live, seats, {s: stock[s][0] * times[s] for s in live})
         plan = [(s, quota[s], quota[s] // stock[s][0], quota[s] % stock[s][0], stock[s][0]) for s in sorted(quota)]
+        for s, per_shard in shard_quotas(quota, shards).items():
+            ends = [sum(per_shard[: i + 1]) for i in range(shards)]
+            places.append((s, ends))
     quotas = spark.createDataFrame(plan, "source string, quota long, rounds long, rest long, blocks long")
+    ends = spark.createDataFrame(places, "source string, ends array<long>")  # a row per source
     # a seeded rotation of the blocks decides which stand in the last, partial round
     turn = F.pmod(F.xxhash64("source", F.lit(seed)), F.greatest("blocks", F.lit(1)))
     at = F.pmod(F.col("block") + turn, F.col("blocks"))
     repeats = F.col("rounds") + (at < F.col("rest")).cast("long")
-    chosen = blocks.join(F.broadcast(quotas), "source").withColumn("_repeats", repeats).where("_repeats > 0")
-    spread = chosen.select("_key", "source", "n_tokens", at.alias("_at"), "blocks", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_repeats"))).alias("repeat"))
-    # the blocks of a source in turn, so equal shares of a source by shard are the quotients' allocation
-    shard = F.pmod((F.col("repeat") - 1) * F.col("blocks") + F.col("_at"), F.lit(shards)).cast("int")
+    chosen = blocks.join(F.broadcast(quotas), "source").join(F.broadcast(ends), "source").withColumn("_repeats", repeats).where("_repeats > 0")
+    spread = chosen.select("_key", "source", "n_tokens", "quota", "ends", at.alias("_at"), "blocks", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_repeats"))).alias("repeat"))
+    # the copies of a source's blocks in one order, rounds one after the other, and the shard in whose quota each place lies
+    place = (F.col("repeat") - 1) * F.col("blocks") + F.col("_at")
+    shard = F.size(F.filter("ends", lambda e: e <= place))
     mixed = scratch.save(spread.select(F.col("_key").alias(key), "source", "n_tokens", F.col("repeat").cast("int").alias("repeat"), shard.alias("shard")))
     reached = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"), F.max("repeat").alias("most_repeats"))
     names = spark.createDataFrame([(s, share[s], times[s]) for s in sorted(share)], "source string, target_share double, max_repeats int")
