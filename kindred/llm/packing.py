@@ -1,9 +1,9 @@
 """Items of varying size into containers of fixed capacity.
 
 Items of equal size are interchangeable, so the plan is made on the counts per size: at most ``capacity`` numbers, whatever
-the number of items. First dominance reduction fixes containers that are in some best packing: the largest
-item alone if nothing fits beside it, with its exact complement, or with the largest item that fits if no two can. What
-is left is packed best fit, largest sizes first, whole runs of equal items and equal containers at a time. The plan, a list of
+the number of items. First dominance reduction fixes containers that are in some best packing: an
+item alone if nothing fits beside it, with its exact complement, with the largest item that fits if no two can, or with the two that dominate all
+others where no three fit. What is left is packed best fit, largest sizes first, whole runs of equal items and equal containers at a time. The plan, a list of
 runs (sizes, how often), is then applied to the items by their place among the items of equal size.
 """
 
@@ -41,50 +41,81 @@ class _Sizes:
         at = bisect.bisect_right(self.order, most)
         return self.order[at - 1] if at else None
 
-    def two_smallest(self) -> int | None:
-        """The least sum of two items."""
-        if not self.order:
-            return None
-        first = self.order[0]
-        if self.n[first] > 1:
-            return 2 * first
-        return first + self.order[1] if len(self.order) > 1 else None
+    def give(self, size: int) -> None:
+        if size not in self.n:
+            self.n[size] = 0
+            bisect.insort(self.order, size)
+        self.n[size] += 1
+
+    def smallest(self, count: int) -> int | None:
+        """The least sum of ``count`` items."""
+        total = 0
+        for size in self.order:
+            some = min(count, self.n[size])
+            total += some * size
+            count -= some
+            if not count:
+                return total
+        return None
+
+    def best_smaller(self, room: int) -> int:
+        """The largest possible smaller item of two that fit into ``room`` together; 0 if no two do."""
+        at = bisect.bisect_right(self.order, room // 2) - 1
+        if at < 0:
+            return 0
+        size = self.order[at]
+        if self.n[size] > 1 or (at + 1 < len(self.order) and size + self.order[at + 1] <= room):
+            return size
+        return self.order[at - 1] if at else 0
+
+
+def _dominating(sizes: _Sizes, room: int) -> tuple[int, ...] | None:
+    """The items that, beside an item which leaves ``room``, dominate every other choice; None if no one, two or none of them surely do.
+
+    * Nothing fits: the item stays alone.
+    * One item fills the room, or no two fit together: the largest that fits.
+    * No three fit together: the largest that fits, c, with the largest that fits beside it, d, if in no pair that fits the smaller item
+      is larger than d. Then of every pair the larger can be exchanged for c and the smaller for d, and a single item for c.
+    """
+    first = sizes.fitting(room)
+    if first is None:
+        return ()
+    pair = sizes.smallest(2)
+    if first == room or pair is None or pair > room:
+        return (first,)
+    triple = sizes.smallest(3)
+    if triple is not None and triple <= room:
+        return None
+    sizes.take(first, 1)
+    second = sizes.fitting(room - first)
+    sizes.give(first)
+    if second is None or sizes.best_smaller(room) > second:
+        return None
+    return (first, second)
 
 
 def reduce_by_dominance(sizes: _Sizes, capacity: int) -> Plan:
     """Containers that some best packing holds; their items are taken out of ``sizes``.
 
-    For the largest item a with room r = capacity - a: nothing fits, so it stays alone; an item of exactly r fills it; or no two
-    items fit into r together, so the largest that fits dominates every other partner. It stops at the first
-    item for which none of this holds, and then tries the smaller ones, whose complements may still be exact.
+    From the largest item down, each is given the one or two items that dominate all other choices beside it, if there are such. Taking
+    items away leaves fewer choices, so a container repeats as long as its sizes last. After a full pass nothing more is tried: what
+    is left is packed best fit.
     """
     plan: Plan = []
     at = len(sizes.order) - 1
     while at >= 0:
         a = sizes.order[at]
-        count = sizes.n[a]
-        room = capacity - a
         sizes.take(a, 1)
-        partner = sizes.fitting(room)
-        pair = sizes.two_smallest()
-        sizes.n[a] = count
-        if count == 1:
-            bisect.insort(sizes.order, a)
-        if partner is None:
-            sizes.take(a, count)
-            plan.append(((a,), count))
-        elif partner == room or pair is None or pair > room:
-            if partner == a:
-                times = count // 2
-                sizes.take(a, 2 * times)
-            else:
-                times = min(count, sizes.n[partner])
-                sizes.take(a, times)
-                sizes.take(partner, times)
-            plan.append(((a, partner), times))
-        else:
+        beside = _dominating(sizes, capacity - a)
+        sizes.give(a)
+        if beside is None:
             at -= 1
             continue
+        held = Counter((a, *beside))
+        times = min(sizes.n[s] // c for s, c in held.items())
+        for s, c in held.items():
+            sizes.take(s, c * times)
+        plan.append(((a, *beside), times))
         at = bisect.bisect_left(sizes.order, a) - (a not in sizes.n)
     return plan
 
