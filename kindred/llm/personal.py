@@ -76,6 +76,14 @@ class Traced:
 _OTHER = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
 _INVISIBLE = "\xad\u200b\u200c\u200d\u2060\ufeff"
 _DIGIT_RUN = re.compile(rf"(?i)\b(?:{'|'.join(_DIGITS)})(?:[ ,-]{{1,2}}(?:{'|'.join(_DIGITS)})){{5,}}\b")
+# Endings of domains by which spoken addresses are told from other uses of "at" and "dot".
+_ENDINGS = "com|org|net|edu|gov|info|example|invalid|test|io|dev|eu|de|at|ch|fr|be|es|it|nl|uk|us|ca|au|in|mx|ar"
+_SPOKEN = re.compile(
+    rf"(?i)(?<![\w.@-])[\w+%-]+(?:(?:\.| dot | punkt | punto | point )[\w+%-]+)*(?: at | arroba | ät | chez )"
+    rf"[a-z0-9-]+(?:(?:\.| dot | punkt | punto | point )[a-z0-9-]+)*(?:\.| dot | punkt | punto | point )(?:{_ENDINGS})(?![\w-]|\.\w)"
+)
+_MAIL_CUE = re.compile(r"(?i)(?:mail|write|reach|contact|address|schreib|écri|correo|adresse)\w*(?: \w+){0,3}[:,]? ?\Z")
+_AT_WORDS, _DOT_WORDS = {"at", "arroba", "ät", "chez"}, {"dot", "punkt", "punto", "point"}
 _AT = re.compile(r"[ ]?(?:[\[({<]\s?(?i:at|arroba|ät|chez)\s?[\])}>])[ ]?| AT (?=\S+(?: DOT |\.)\S)| @ |(?<=\w) @(?=\w)|(?<=\w)@ (?=\w+\.\w)")
 _DOT = re.compile(r"[ ]?[\[({<]\s?(?i:dot|punkt|punto|point)\s?[\])}>][ ]?|(?<=\w) DOT (?=\w)")
 
@@ -92,32 +100,46 @@ def plain(text: str) -> Traced:
     return Traced(text) if text.isascii() else Traced(text).rewrite(_OTHER, _plain_character)
 
 
-def spelled(traced: Traced) -> Traced:
-    """Runs of at least six spelled digits as digits."""
+def spelled(traced: Traced, words: list[str]) -> Traced:
+    """Runs of at least six spelled digits as digits; ``words``: those of the text in lower case."""
+    if sum(w in _DIGITS for w in words) < 6:
+        return traced
     return traced.rewrite(_DIGIT_RUN, lambda m: "".join(_DIGITS[w.lower()] for w in re.findall(r"\w+", m.group())))
 
 
-def undisguised(traced: Traced) -> Traced:
-    """"at" and "dot" in their disguises as @ and point."""
-    if not _AT.search(traced.text) and not _DOT.search(traced.text):
-        return traced
-    return traced.rewrite(_DOT, lambda m: ".").rewrite(_AT, lambda m: "@")
+def _spoken(m: re.Match) -> str | None:
+    """A spoken address with signs for its words; None where nothing but "at" and a dotted name says that it is one."""
+    local, domain = re.split(r"(?i) (?:at|arroba|ät|chez) ", m.group(), maxsplit=1)
+    said = re.search(r"(?i) (?:dot|punkt|punto|point) ", m.group())
+    if not said and not re.search(r"[._+\d]", local) and not _MAIL_CUE.search(m.string, max(0, m.start() - 60), m.start()):
+        return None
+    return re.sub(r"(?i) (?:dot|punkt|punto|point) ", ".", f"{local}@{domain}")
+
+
+def undisguised(traced: Traced, words: list[str]) -> Traced:
+    """"at" and "dot" in their disguises as @ and point; also spoken in lower case, where an ending of a domain closes the address."""
+    at, dot = not _AT_WORDS.isdisjoint(words), not _DOT_WORDS.isdisjoint(words)
+    if dot:
+        traced = traced.rewrite(_DOT, lambda m: ".")
+    if at or "@" in traced.text:
+        traced = traced.rewrite(_AT, lambda m: "@")
+    return traced.rewrite(_SPOKEN, _spoken) if at else traced
 
 
 _L = r"[^\W\d_]"
 _WORD = rf"{_L}(?:{_L}|['’](?={_L}))*(?:-{_L}{{2,}})*"
-_LOCAL = re.compile(r"(?<![\w.+%*-])[\w*](?:[\w.+%*-]*[\w*])?\Z")
+_LOCAL = re.compile(r"[\w*](?:[\w.+%*-]*[\w*])?\Z")
 _DOMAIN = re.compile(r"(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w-])")
 
 _PHONE_CUE = re.compile(
-    r"(?i)(?<!\w)(?:call(?: me)?(?: on| at)?|my number is|hotline|text|tel|tél|telefon|teléfono|téléphone|phone|mobile|móvil|handy|cell|fax|whatsapp|"
+    r"(?i)(?<!\w)(?:call(?: me)?(?: on| at)?|(?:reach|ring|dial|phone|text)(?: me| us)?(?: on| at)?|number|my number is|hotline|text|tel|tél|telefon|teléfono|téléphone|phone|mobile|móvil|handy|cell|fax|whatsapp|"
     r"ich bin unter|unter|rufen sie|rufnummer|mobil|estoy en el|llamen al|llame al|llámame al|appelez(?:-moi)? (?:le|au)|je réponds au|joignable au|contact)\b[.:]{0,2} ?:? ?\Z"
 )
 _INTERNATIONAL = r"(?:\(\+\d{1,3}\)|\+\d{1,3}|00\d{2})[ ./-]?(?:\(\d{1,4}\)[ ./-]?)?\d(?:[ ./-]?\d){5,11}"
 _NATIONAL = r"\(\d{2,5}\)[ ./-]?\d(?:[ ./-]?\d){4,9}|\d(?:[ ./-]?\d){6,12}"
 _CUED_PHONE = re.compile(rf"(?<![\w+(])(?:{_INTERNATIONAL}|{_NATIONAL})(?![\w])")
 _FREE_PHONE = re.compile(
-    rf"(?<![\w.,/+(=#-])(?:{_INTERNATIONAL}|(?:1[ .-])?(?:\([2-9]\d\d\) ?|[2-9]\d\d[-. ])[2-9]\d\d[-.]\d{{4}}|0\d(?:[ .]\d\d){{4}})(?![\w-]|\.\d)"
+    rf"(?<![\w.,/+(=#-])(?:{_INTERNATIONAL}|(?:1[ .-])?(?:\([2-9]\d\d\) ?|[2-9]\d\d[-. ])[2-9]\d\d[-.]\d{{4}}|0\d(?:[ .]\d\d){{4}}|0\d{{2,4}}[ /-]\d{{3,4}}[ -]\d{{3,4}})(?![\w-]|\.\d)"
 )
 _NO_PHONE = re.compile(r"(?i)(?:part no\.?|ticket|order|batch|build|case|max|limit ?=|version|request id|checksum|=) ?$")
 
@@ -135,6 +157,8 @@ _STREET_EN = (
 )
 _ADDRESSES = (
     re.compile(rf"(?i)(?<![\w.,/-])\d{{1,5}}[a-z]?,? (?:(?:north|south|east|west|[nsew]\.) )?(?!(?:road|street|way) )(?:{_WORD} )(?:{_STREET_EN})(?!\w)"),
+    # several words before the kind of street, each with a capital letter
+    re.compile(rf"(?<![\w.,/-])\d{{1,5}}[a-zA-Z]?,? (?:[A-ZÀ-ÖØ-Þ](?:{_L}|['’](?={_L})|\.)*[ -]){{2,4}}(?i:{_STREET_EN})(?!\w)"),
     re.compile(
         rf"(?i)(?<![\w.,/-])\d{{1,5}}[a-z]?(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|av\.|bd|boulevard|chemin|place|allée|impasse|quai|route|cours|square|passage)"
         rf"(?: (?:de la|de l['’]|des|de|du|d['’]|les|la|le))* ?(?<=[ '’]){_WORD}"
@@ -143,7 +167,9 @@ _ADDRESSES = (
         rf"(?i)(?<!\w)(?:calle|c/|plaza|pza\.|avda\.?|avenida|paseo|camino|ronda|travesía|carrer)(?: (?:de la|de los|de las|del|de))* {_WORD},?(?: (?:n\.?[º°o]|núm\.?))? \d{{1,5}}(?: ?(?:bis|[a-z]))?(?!\w)"
     ),
 )
-_GERMAN_STREET = re.compile(r"(?i)(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm|ufer|chaussee) \d{1,4}(?: ?[a-z])?(?!\w)")
+_GERMAN_KINDS = ("straße", "strasse", "str.", "weg", "platz", "gasse", "allee", "ring", "damm", "ufer", "chaussee")
+_GERMAN_NUMBER = re.compile(r"(?i) \d{1,4}(?: ?[a-z])?(?!\w)")
+_SPANISH_KINDS = ("calle", "c/", "plaza", "pza.", "avda", "avenida", "paseo", "camino", "ronda", "travesía", "carrer")
 _GERMAN_LEAD = re.compile(rf"(?i)(?<!\w)(?:(?:am|an der|zum|zur|auf dem|auf der|unter den) )?(?:{_L}|-)+\Z|(?<!\w)(?:am|an der|zum|zur|auf dem|auf der) (?=\Z)")
 
 _TITLE = r"(?:(?i:dr|prof|mr|mrs|ms|mx|herr|frau|mme|mlle|sra|sr|ing|dipl|don|doña)\.? )*"
@@ -170,6 +196,18 @@ _NO_FAMILY = re.compile(rf"(?i:{_STREET_EN})(?!\w)")
 _PRODUCT = re.compile(r"[ ](?i:studio|server|cluster|core|gateway|suite|cloud|engine|platform)\b")
 
 
+# Words after which two capitalised words are a person, in the four languages.
+_BEFORE_PERSON = frozenset(
+    "by ask tell asked told met colleague friend manager boss teammate coworker wife husband brother sister neighbour neighbor kollege kollegin freund freundin chef chefin "
+    "collègue ami amie colega amigo amiga compañero compañera jefe jefa".split()
+)
+# More ways to close a letter.
+_MORE_CLOSINGS = re.compile(r"(?i)(?<!\w)(?:yours (?:truly|sincerely|faithfully)|sincerely yours|all the best|many thanks|best wishes|liebe grüße|herzliche grüße|amicalement|bien cordialement|un abrazo|cordialmente)(?=,?[ \t>]*\r?\n)")
+_CAPITALISED = rf"(?:(?![A-ZÀ-ÖØ-Þ]+\b)[A-ZÀ-ÖØ-Þ]{_L}+(?:['’-][A-ZÀ-ÖØ-Þ]?{_L}+)*)"
+_SHAPED = re.compile(rf"(?<![\w.@/-])(?P<cue>{_L}+):? (?P<name>{_CAPITALISED}(?: [A-ZÀ-ÖØ-Þ]\.)* {_PARTICLE}{_CAPITALISED})(?![\w@_-])")
+_ENGLISH_ENDING = re.compile(r"(?i)(?:ing|tion|ment|ness|able|ible|ware|base|work|ity)$")
+
+
 def _any_known(name: str, known: dict[str, str]) -> bool:
     return any(w.lower() in known for w in re.findall(_L + "+", name))
 
@@ -190,22 +228,44 @@ def _ends(lower: str, phrases: tuple[str, ...]) -> Iterator[int]:
             at = lower.find(phrase, at + 1)
 
 
-def emails(base: Traced) -> Iterator[tuple[int, int]]:
-    traced = undisguised(base)
+def _back(text: str, end: int, more: str = "") -> int:
+    """Where the run of word characters and ``more`` that ends at ``end`` begins; of any length."""
+    at = end
+    while at and (text[at - 1].isalnum() or text[at - 1] == "_" or text[at - 1] in more):
+        at -= 1
+    return at
+
+
+def _words_back(text: str, end: int, words: int) -> int:
+    """Where the ``words`` space-separated words before ``end`` begin; a name with titles and particles has no more than a dozen."""
+    at = end
+    for _ in range(words):
+        at = text.rfind(" ", 0, at)
+        if at < 0:
+            return 0
+    return at
+
+
+def emails(base: Traced, words: list[str]) -> Iterator[tuple[int, int]]:
+    traced = undisguised(base, words)
     text, at = traced.text, traced.text.find("@")
     while at >= 0:
-        local, domain = _LOCAL.search(text, max(0, at - 256), at), _DOMAIN.match(text, at + 1)
+        local, domain = _LOCAL.match(text, _back(text, at, ".+%*-"), at), _DOMAIN.match(text, at + 1)
         if local and domain:
             yield traced.source(local.start(), domain.end())
         at = text.find("@", at + 1)
 
 
-def addresses(base: Traced) -> Iterator[tuple[int, int]]:
-    for pattern in _ADDRESSES:
+def addresses(base: Traced, lower: str) -> Iterator[tuple[int, int]]:
+    for pattern in _ADDRESSES[:-1] if not any(k in lower for k in _SPANISH_KINDS) else _ADDRESSES:
         for m in pattern.finditer(base.text):
             yield base.source(*m.span())
-    for m in _GERMAN_STREET.finditer(base.text):
-        lead = _GERMAN_LEAD.search(base.text, max(0, m.start() - 80), m.start())
+    for m in _GERMAN_NUMBER.finditer(base.text):
+        if not lower.endswith(_GERMAN_KINDS, 0, m.start()):
+            continue
+        kind = next(k for k in _GERMAN_KINDS if lower.endswith(k, 0, m.start()))
+        end = m.start() - len(kind)
+        lead = _GERMAN_LEAD.search(base.text, max(0, _back(base.text, end, "-") - 12), end)  # the run whole, and "unter den" before it
         if lead:
             yield base.source(lead.start(), m.end())
 
@@ -214,8 +274,9 @@ def _enough(found: str, least: int, most: int) -> bool:
     return least <= sum(c.isdigit() for c in found) <= most
 
 
-def phones(base: Traced) -> Iterator[tuple[int, int]]:
-    traced = spelled(base)
+def phones(base: Traced, words: list[str]) -> Iterator[tuple[int, int]]:
+    """Windows before a number are longer than the longest cue."""
+    traced = spelled(base, words)
     text = traced.text
     for m in _CUED_PHONE.finditer(text):
         if _enough(m.group(), 7, 15) and _PHONE_CUE.search(text, max(0, m.start() - 40), m.start()):
@@ -233,9 +294,9 @@ def identity_numbers(base: Traced, lower: str) -> Iterator[tuple[int, int]]:
             yield base.source(*m.span())
 
 
-def names(base: Traced, lower: str, known: dict[str, str]) -> Iterator[tuple[int, int]]:
-    """Names after or before phrases that introduce persons; anywhere pairs of known name parts, initials before a known family name, and a
-    known given name before another capitalised word."""
+def names(base: Traced, lower: str, known: dict[str, str], words: list[str]) -> Iterator[tuple[int, int]]:
+    """Names after or before phrases that introduce persons; anywhere pairs of known name parts, initials before a known family name, a
+    known given name before another capitalised word, and two capitalised words, neither a product nor a common word's ending, after a word for a person or one that takes one."""
     text = base.text
 
     def person(a: int, b: int) -> bool:
@@ -254,13 +315,24 @@ def names(base: Traced, lower: str, known: dict[str, str]) -> Iterator[tuple[int
     for phrase in _SAYS:
         at = lower.find(phrase)
         while at >= 0:
-            m = _COLON.match(text, at + len(phrase)) and _NAME_BEFORE.search(text, max(0, at - 120), at)
+            m = _COLON.match(text, at + len(phrase)) and _NAME_BEFORE.search(text, _words_back(text, at, 12), at)
             if m and person(*m.span("name")):
                 yield base.source(*m.span("name"))
             at = lower.find(phrase, at + 1)
-    for word in known.keys() & set(re.findall(_L + "+", lower)):
+    for found in _MORE_CLOSINGS.finditer(text) if "\n" in text else ():
+        line = _AFTER_CLOSING.match(text, found.end())
+        m = line and _NAME_AT.match(text, _TITLES.match(text, line.end()).end())
+        if m and person(*m.span()) and m.group()[0].isupper():
+            yield base.source(*m.span())
+    if not _BEFORE_PERSON.isdisjoint(words):
+        for m in _SHAPED.finditer(text):
+            parts = re.findall(_L + "+", m["name"])
+            common = any(_ENGLISH_ENDING.search(w) and w.lower() not in known for w in parts) or _NO_FAMILY.fullmatch(parts[-1])
+            if m["cue"].lower() in _BEFORE_PERSON and not common and person(*m.span("name")):
+                yield base.source(*m.span("name"))
+    for word in known.keys() & set(words):
         for m in re.finditer(rf"(?<![\w@./+-]){word}(?!\w)", lower):
-            initials = known[word] == "family" and _INITIALS.search(text, max(0, m.start() - 40), m.start())
+            initials = known[word] == "family" and _INITIALS.search(text, _words_back(text, m.start(), 8), m.start())
             if initials and person(initials.start(), m.end()) and text[m.end() : m.end() + 1] not in ("@", "_"):
                 yield base.source(initials.start(), m.end())
             pair = _NAME_AT.match(text, m.start())
@@ -278,11 +350,12 @@ def find_personal(text: str, known: dict[str, str]) -> list[tuple[int, int, str]
     base = plain(text)
     digits = any(c.isdigit() for c in base.text)
     lower = _folded(base.text)
-    found = [(s, "email") for s in emails(base)]
+    words = re.findall(_L + "+", lower)
+    found = [(s, "email") for s in emails(base, words)]
     if digits:
-        found += [(s, "street_address") for s in addresses(base)] + [(s, "identity_number") for s in identity_numbers(base, lower)]
-    found += [(s, "phone") for s in phones(base)]
-    found += [(s, "name") for s in names(base, lower, known)]
+        found += [(s, "street_address") for s in addresses(base, lower)] + [(s, "identity_number") for s in identity_numbers(base, lower)]
+    found += [(s, "phone") for s in phones(base, words)]
+    found += [(s, "name") for s in names(base, lower, known, words)]
     rank = {k: i for i, k in enumerate(KINDS)}
     taken: list[tuple[int, int, str]] = []
     used = bytearray(len(text))
