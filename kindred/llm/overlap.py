@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.text import clean_text, words
+from kindred.functions.text import clean_text
 from kindred.session import Scratch
 
 SKETCH_BITS = 52
@@ -27,9 +27,11 @@ LARGEST = 4095  # sizes from here on are not told apart, and such entries are no
 
 def shingle_set(fields: list[Column], width: int = 1) -> Column:
     """The sorted set of runs of ``width`` clean words of each field, as one text with a tab between elements."""
+    if width == 1:
+        every = F.array_remove(F.array_distinct(F.split(F.concat_ws(" ", *[clean_text(f) for f in fields]), " ")), "")
+        return F.array_join(F.sort_array(every), "\t")
+
     def runs(clean: Column) -> Column:
-        if width == 1:
-            return words(clean)
         parts = F.split(clean, " ")
         at = F.sequence(F.lit(1), F.greatest(F.size(parts) - width + 1, F.lit(1)))
         return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(parts, i, width), " "))))
@@ -38,7 +40,7 @@ def shingle_set(fields: list[Column], width: int = 1) -> Column:
     every = sets[0]
     for other in sets[1:]:
         every = F.array_union(every, other)
-    return F.array_join(F.array_sort(every), "\t")
+    return F.array_join(F.sort_array(every), "\t")
 
 
 def element_hashes(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
