@@ -55,7 +55,7 @@ def bipartite_components(records: DataFrame, scratch: Scratch, rounds: int = 3,
         found = scratch.save(labels.select("entity", F.col("label.entity").alias("center")))
         levels.append(found)
         moved = edges.join(found, "entity").groupBy("rec").agg(F.collect_set("center").alias("entities")).where(F.size("entities") > 1)
-        following = moved.select(F.array_sort("entities").alias("entities")).distinct()
+        following = moved.select(F.sort_array("entities").alias("entities")).distinct()
         current, count = scratch.save_counted(following.withColumn("rec", F.monotonically_increasing_id()))
     else:
         raise RuntimeError(f"records are left after {max_levels} levels")
@@ -74,7 +74,7 @@ def linked_groups(df: DataFrame, key: str, entities: list[str], scratch: Scratch
     whatever its other columns hold. Records without any entity are left out. Repeated records keep a row each.
     """
     scratch = scratch or Scratch(df.sparkSession)
-    ids = F.array_sort(F.array_distinct(F.array_compact(F.array(*[clean_id(F.col(c)) for c in entities]))))
+    ids = F.sort_array(F.array_distinct(F.array_compact(F.array(*[clean_id(F.col(c)) for c in entities]))))
     rows = scratch.save(df.select(F.col(key), ids.alias("_ids")).where(F.size("_ids") > 0))
     # names begin with "=", parts of hubs don't, so ids may hold any character
     records = rows.where(F.size("_ids") > 1).select(F.transform("_ids", lambda e: F.concat(F.lit("="), e)).alias("entities"))
