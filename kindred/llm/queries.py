@@ -28,7 +28,7 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    found = nearest_vectors(_table(spark, sf, "catalog_vectors"), "question_id", "embedding", k=10, least=0.85, recall=0.999, shortlist=192)
+    found = nearest_vectors(_table(spark, sf, "catalog_vectors"), "question_id", "embedding", k=10, least=0.85, recall=0.999, shortlist=64)
     pair = found.select(F.least("query", "neighbor").alias("question_id_a"), F.greatest("query", "neighbor").alias("question_id_b"))
     return pair.distinct()
 
