@@ -102,11 +102,15 @@ def may_reach(a: Column, b: Column, threshold: float) -> Column:
     return (bits <= differ) | (size(a) >= LARGEST) | (size(b) >= LARGEST)
 
 
+def elements(shingles: Column) -> Column:
+    """A set given as tab-separated text as an array."""
+    return F.split(shingles, "\t")
+
+
 def jaccard(a: Column, b: Column) -> Column:
-    """Similarity of two sets given as tab-separated texts of at least one element each."""
-    left, right = F.split(a, "\t"), F.split(b, "\t")
-    both = F.size(F.array_intersect(left, right))
-    return both / (F.size(left) + F.size(right) - both)
+    """Similarity of two sets given as arrays of at least one element each."""
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both)
 
 
 @dataclass
@@ -134,8 +138,8 @@ def overlapping_sets(
     b = entries("in_other").toDF("bucket", "b", "b_info")
     met = a.join(b, "bucket").where((F.col("a") != F.col("b")) & may_reach(F.col("a_info"), F.col("b_info"), threshold))
     candidates = scratch.save(met.select("a", "b").distinct())
-    left, right = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("a_set")), sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("b_set"))
-    similar = candidates.join(left, "a").join(right, "b").withColumn("similarity", jaccard(F.col("a_set"), F.col("b_set")))
+    side = lambda name: sets.select(F.col("set_id").alias(name), elements(F.col("shingles")).alias(f"{name}_set"))  # noqa: E731  # taken apart once, not for every pair
+    similar = candidates.join(side("a"), "a").join(side("b"), "b").withColumn("similarity", jaccard(F.col("a_set"), F.col("b_set")))
     similar = similar.where(F.col("similarity") >= threshold - 1e-9).select("a", "b", "similarity")
     equal = sets.where("in_train and in_other").select(F.col("set_id").alias("a"), F.col("set_id").alias("b"), F.lit(1.0).alias("similarity"))
     records = rows_.join(sets.select("shingles", "set_id"), "shingles").select("key", "train", "set_id")
