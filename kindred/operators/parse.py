@@ -83,7 +83,10 @@ def parse_pair_records(raw: DataFrame, line: str = "raw_line", header: str = HEA
     step = step.withColumn("_fields", F.when(F.col("_quoted"), record_fields(F.col("_pieces"))))
     names = header.split(",")
     step = step.withColumns({f"_{name}": F.get("_fields", F.lit(i)) for i, name in enumerate(names)})
-    errors = F.array(*[F.when(broken, name) for name, broken in broken_rules(F.col("_fields"), F.col("_quoted"), len(names))])
+    # bound in a lambda, so the optimizer can't copy the splitting of a record into every rule
+    both = F.array(F.struct(F.col("_quoted").alias("quoted"), F.col("_fields").alias("fields")))
+    rules = lambda r: F.array(*[F.when(broken, name) for name, broken in broken_rules(r["fields"], r["quoted"], len(names))])
+    errors = F.get(F.transform(both, rules), F.lit(0))
     return step.withColumn("_errors", F.array_compact(errors)).drop("_text", "_pieces", "_quoted", "_fields")
 
 
