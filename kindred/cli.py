@@ -86,6 +86,7 @@ def train(spark: SparkSession, a: argparse.Namespace) -> int:
         pairs, held = joined.where("part = 'train'").drop("part"), joined.where("part = 'eval'").drop("part")
         held = None if held.isEmpty() else held
     made = model.train(pairs, evaluation=held, optimize_for=a.optimize_for, trees=a.trees)
+    made.meta["used"] = [manifests.table_digest(df.select("question1", "question2", "is_duplicate")) for df in (pairs, held) if df is not None]
     model.save(made, a.out)
     if a.registry:
         manifests.register(spark, a.registry, {"artifact": a.out.rstrip("/").split("/")[-1], "threshold": made.threshold} | made.meta)
@@ -98,11 +99,19 @@ def _scored(spark: SparkSession, a: argparse.Namespace):
     return made, Scratch(spark).save(made.score(pairs, "row_id", keep=[c for c in pairs.columns if c not in {"row_id", *model.FEATURES}]))
 
 
-@command(CSV, OUT, arg("--model", required=True), arg("--method", choices=["sigmoid", "isotonic"], default="isotonic"))
+@command(CSV, OUT, arg("--model", required=True), arg("--method", choices=["sigmoid", "isotonic"], default="isotonic"), arg("--apart-from", action="append", default=[]))
 def calibrate(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Calibrates on rows that neither trained the model nor chose its threshold, and share no question id with the files of --apart-from."""
     made, scored = _scored(spark, a)
     if made.calibrator:
         raise ValueError("the model is calibrated already")
+    if manifests.table_digest(scored.select("question1", "question2", "is_duplicate")) in made.meta.get("used", []):
+        raise ValueError("the model was trained or its threshold chosen on these rows")
+    for other in a.apart_from:
+        ids = lambda df: df.select(F.explode(F.array("qid1", "qid2")).alias("id")).where("trim(id) <> ''").distinct()
+        shared = ids(scored).join(ids(tables.read_pairs(spark, other)), "id", "left_semi").count()
+        if shared:
+            raise ValueError(f"{shared} question ids also stand in {other}")
     fit = calibration.fit_sigmoid if a.method == "sigmoid" else calibration.fit_isotonic
     made.calibrator = fit(scored, "is_duplicate", "raw_proba")
     chosen = metrics.select_threshold(metrics.threshold_sweep(scored.withColumn("p", made.calibrator.apply(F.col("raw_proba"))), "is_duplicate", "p")).first()
@@ -176,9 +185,9 @@ def retrieve_benchmark(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
-@command(CSV, OUT, arg("--candidate-k", type=int, default=50), arg("--negatives-per-positive", type=int, default=1))
+@command(CSV, OUT, arg("--candidate-k", type=int, default=50), arg("--negatives-per-positive", type=int, default=1), arg("--max-positive-rows", type=int), arg("--seed", type=int, default=42))
 def mine_hard_negatives(spark: SparkSession, a: argparse.Namespace) -> int:
-    mined = mining.hard_negatives(tables.read_pairs(spark, a.csv), "row_id", a.candidate_k, a.negatives_per_positive)
+    mined = mining.hard_negatives(tables.read_pairs(spark, a.csv), "row_id", a.candidate_k, a.negatives_per_positive, a.max_positive_rows, a.seed)
     mined.orderBy("source_row", "rank").write.option("header", True).mode("errorifexists").csv(a.out)
     return 0
 

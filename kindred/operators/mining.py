@@ -14,14 +14,26 @@ from kindred.functions.text import clean_text
 from kindred.operators.audit import question_texts
 from kindred.operators.graph import connected_components
 from kindred.operators.retrieval import tfidf_search
+from kindred.operators.split import seeded_rank
 from kindred.session import Scratch
 
 
-def candidate_pairs(df: DataFrame, key: str = "row_id", candidate_k: int = 50, scratch: Scratch | None = None) -> DataFrame:
+def sampled_rows(rows: DataFrame, key: str, most: int | None, seed: int) -> DataFrame:
+    """``rows``, or the ``most`` first in a seeded order."""
+    if most is None:
+        return rows
+    if most < 1:
+        raise ValueError("the number of rows must be at least 1")
+    return rows.orderBy(seeded_rank(F.col(key), seed), key).limit(most)
+
+
+def candidate_pairs(
+    df: DataFrame, key: str = "row_id", candidate_k: int = 50, max_positive_rows: int | None = None, seed: int = 42, scratch: Scratch | None = None
+) -> DataFrame:
     """(row, anchor_side, qid1, qid2, question1, question2, rank, score): all eligible candidates of the positive rows.
 
     ``df``: (key, qid1, qid2, question1, question2, is_duplicate); rows without both ids or texts or a 0/1 label take no part. The catalogue
-    holds the first text of each id. The rank is that of the whole hit list, before entries of the anchor's positive component are dropped.
+    holds the first text of each id. With ``max_positive_rows`` only so many positive rows, drawn by ``seed``, are anchors; catalogue and components hold all. The rank is that of the whole hit list, before entries of the anchor's positive component are dropped.
     """
     scratch = scratch or Scratch(df.sparkSession)
     given = df.where("trim(qid1) <> '' and trim(qid2) <> '' and trim(question1) <> '' and trim(question2) <> '' and is_duplicate in (0, 1)")
@@ -31,7 +43,7 @@ def candidate_pairs(df: DataFrame, key: str = "row_id", candidate_k: int = 50, s
     edges = positive.select(F.col("qid1").alias("src"), F.col("qid2").alias("dst"))
     groups = scratch.save(connected_components(edges, catalog.select(F.col("question_id").alias("node")), scratch))
     sides = F.array(*[F.struct(F.lit(f"qid{i}").alias("anchor_side"), F.col(f"qid{i}").alias("anchor"), F.col(f"question{i}").alias("text")) for i in (1, 2)])
-    anchors = positive.select("row", F.col("qid1").alias("node"), F.inline(sides)).join(groups, "node").drop("node")
+    anchors = sampled_rows(positive, "row", max_positive_rows, seed).select("row", F.col("qid1").alias("node"), F.inline(sides)).join(groups, "node").drop("node")
     hits = scratch.save(tfidf_search(anchors.select(F.col("text").alias("query")), catalog, candidate_k, scratch=scratch))
     placed = hits.join(groups.toDF("question_id", "other"), "question_id").join(catalog, "question_id")
     met = anchors.join(placed, anchors["text"] == placed["query"]).where(F.col("group") != F.col("other"))
@@ -57,12 +69,14 @@ def serial_choice(candidates: DataFrame, n: int, scratch: Scratch, max_rounds: i
     raise RuntimeError("the rounds did not end")
 
 
-def hard_negatives(df: DataFrame, key: str = "row_id", candidate_k: int = 50, negatives_per_positive: int = 1, scratch: Scratch | None = None) -> DataFrame:
+def hard_negatives(
+    df: DataFrame, key: str = "row_id", candidate_k: int = 50, negatives_per_positive: int = 1, max_positive_rows: int | None = None, seed: int = 42, scratch: Scratch | None = None
+) -> DataFrame:
     """Mined rows (question1, question2, is_duplicate = 0, qid1, qid2, source_row, anchor_side, rank, score); no pair of ids twice."""
     if candidate_k < 1 or negatives_per_positive < 1:
         raise ValueError("candidate_k and negatives_per_positive must be positive")
     scratch = scratch or Scratch(df.sparkSession)
-    found = candidate_pairs(df, key, candidate_k, scratch).withColumns({"lo": F.least("qid1", "qid2"), "hi": F.greatest("qid1", "qid2")})
+    found = candidate_pairs(df, key, candidate_k, max_positive_rows, seed, scratch).withColumns({"lo": F.least("qid1", "qid2"), "hi": F.greatest("qid1", "qid2")})
     order = [F.desc("score"), "rank", "anchor_side", "qid1", "qid2"]
     once = Window.partitionBy("row", "lo", "hi").orderBy(*order)  # a pair met from both anchors counts by its better entry
     unique = found.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")

@@ -20,6 +20,7 @@ from kindred.functions.text import clean_text
 from kindred.operators.calibration import Isotonic, Sigmoid, from_json, to_json
 from kindred.operators.metrics import GRID, select_threshold, threshold_sweep
 from kindred.operators.tfidf import MAX_FEATURES, Vocabulary, fit_vocabulary, idf_table, pair_cosine
+from kindred.sources.manifests import file_manifest, folder_digest
 
 FEATURES = ["cos", "jaccard", "len_ratio", "abs_len_diff", "len_sum"]
 MAX_PAIRS, MAX_CHARACTERS = 256, 8192  # limits of one request
@@ -148,6 +149,18 @@ def request_problems(left: Column, right: Column) -> Column:
     return F.when(blank(left) | blank(right), "missing_text").when(F.greatest(F.length(left), F.length(right)) > MAX_CHARACTERS, "too_long")
 
 
+def predict_arrays(model: DuplicateModel, left: Sequence[str], right: Sequence[str], threshold: float | None = None, explain: bool = False) -> list[dict]:
+    """Decisions for one request of two lists of texts, in their order; at most MAX_PAIRS pairs, each text present and not too long."""
+    if len(left) != len(right):
+        raise ValueError(f"{len(left)} first texts and {len(right)} second ones")
+    if not 1 <= len(left) <= MAX_PAIRS:
+        raise ValueError(f"a request holds 1 to {MAX_PAIRS} pairs")
+    if any(not (t or "").strip() or len(t) > MAX_CHARACTERS for t in (*left, *right)):
+        raise ValueError(f"every text needs 1 to {MAX_CHARACTERS} characters")
+    pairs = model.vocabulary.sparkSession.createDataFrame(list(zip(range(len(left)), left, right)), "row_id long, question1 string, question2 string")
+    return [r.asDict(recursive=True) for r in score_pairs(pairs, model, threshold=threshold, explain=explain).orderBy("row_id").collect()]
+
+
 def save(model: DuplicateModel, path: str) -> None:
     """Trees in MLlib's format, vocabulary as Parquet, everything else as one JSON row with the digest of the vocabulary; no pickle."""
     spark = model.vocabulary.sparkSession
@@ -162,8 +175,15 @@ def vocabulary_digest(vocabulary: DataFrame) -> str:
     return hashlib.sha256(json.dumps([[r["term"], r["idf"]] for r in rows]).encode()).hexdigest()
 
 
-def load(spark: SparkSession, path: str) -> DuplicateModel:
-    """Reads what ``save`` wrote; raises if the vocabulary doesn't have the recorded digest."""
+def artifact_digest(spark: SparkSession, path: str) -> str:
+    """One digest over all data files of a saved model: trees, vocabulary and card."""
+    return folder_digest(file_manifest(spark, path, "part-*"))
+
+
+def load(spark: SparkSession, path: str, expected: str | None = None) -> DuplicateModel:
+    """Reads what ``save`` wrote; raises if the vocabulary doesn't have the recorded digest, or the whole artefact not the ``expected`` one."""
+    if expected and artifact_digest(spark, path) != expected:
+        raise ValueError("the artefact doesn't have the expected digest")
     card = json.loads(spark.read.text(f"{path}/card").first()[0])
     vocabulary = spark.read.parquet(f"{path}/vocabulary")
     if vocabulary_digest(vocabulary) != card["vocabulary_sha256"]:

@@ -120,6 +120,18 @@ def problems(kind: str, document: dict) -> list[str]:
     return [message for rule in RULES[kind] for message in rule(document)]
 
 
+def binding_problems(report: dict, protocol: dict, role: str = "final_holdout") -> list[str]:
+    """Whether a report was made on the rows of a protocol's role: its digest, its number of rows, and no other role's digest."""
+    wanted = at(protocol, f"roles.{role}") or {}
+    others = {n: r.get("sha256") for n, r in (at(protocol, "roles") or {}).items() if n != role}
+    found = []
+    if not wanted.get("sha256") or report.get("data") != wanted["sha256"]:
+        found.append(f"the report's rows aren't those of {role}")
+    if at(report, "metrics.n") is not None and wanted.get("n_rows") is not None and at(report, "metrics.n") != wanted["n_rows"]:
+        found.append(f"the report has {at(report, 'metrics.n')} rows, {role} {wanted['n_rows']}")
+    return found + [f"the report's rows are those of {n}" for n, d in sorted(others.items()) if d and d == report.get("data")]
+
+
 def differences(a, b, tolerance: float = 1e-3, path: str = "") -> list[str]:
     """Where two JSON values differ; numbers may differ by the tolerance, relative or absolute."""
     if isinstance(a, dict) and isinstance(b, dict):

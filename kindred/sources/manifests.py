@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Sequence
 from datetime import datetime, timezone
@@ -20,9 +21,11 @@ def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFra
 
 
 def folder_digest(manifest: DataFrame) -> str:
-    """One digest over the sorted (name, bytes, sha256) lines, computed on the executors' side of an aggregate."""
-    line = F.concat_ws("\x00", "name", F.col("bytes").cast("string"), "sha256")
-    return manifest.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("d")).first()["d"]
+    """One digest over the sorted (name, bytes, sha256) lines, which come to the driver one partition at a time."""
+    whole = hashlib.sha256()
+    for r in manifest.orderBy("name").toLocalIterator():
+        whole.update(f"{r['name']}\x00{r['bytes']}\x00{r['sha256']}\n".encode())
+    return whole.hexdigest()
 
 
 def table_digest(df: DataFrame) -> str:
@@ -52,6 +55,12 @@ def registered(spark: SparkSession, registry: str) -> list[dict]:
     return sorted(records, key=lambda r: r.get("registered_at", ""))
 
 
+def model_card(title: str, meta: dict, tables: dict[str, DataFrame]) -> str:
+    """A model card in Markdown: what is known of the model, then each table under its name."""
+    known = "\n".join(f"- {k}: {json.dumps(v, default=str)}" for k, v in sorted(meta.items()))
+    return "\n\n".join([f"# {title}", known, *[f"## {name}\n\n{markdown_table(df)}" for name, df in tables.items()]]).rstrip() + "\n"
+
+
 def markdown_table(df: DataFrame, columns: Sequence[str] | None = None, most: int = 1000) -> str:
     """A small result table in Markdown: floats with 4 digits, null as empty; raises beyond ``most`` rows."""
     names = list(columns or df.columns)

@@ -35,10 +35,15 @@ def read_csv(spark: SparkSession, path: str, required: Sequence[str], optional:
     return out.withColumns({c: F.expr(f"try_cast(`{c}` as {t})") for c, t in NUMBERS.items() if c in out.columns})
 
 
-def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled pairs; a ``row_id`` in file order is added where the file has none."""
+def read_pairs(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
+    """Labelled pairs; a ``row_id`` in file order is added where the file has none. ``max_rows`` keeps the rows of the smallest row_ids."""
     df = read_csv(spark, path, ["question1", "question2", "is_duplicate"])
-    return df if "row_id" in df.columns else with_row_id(df)
+    df = df if "row_id" in df.columns else with_row_id(df)
+    if max_rows is None:
+        return df
+    if max_rows < 1:
+        raise ValueError("max_rows must be at least 1")
+    return df.orderBy("row_id").limit(max_rows)
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
@@ -86,5 +91,6 @@ def write_roles(assigned: DataFrame, rows: DataFrame, key: str, path: str) -> No
 
 
 def read_stream(spark: SparkSession, folder: str, schema: StructType = PAIRS, files_per_trigger: int = 8) -> DataFrame:
-    """CSV files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files_per_trigger).csv(folder)
+    """CSV files of a folder as a stream, quoted as ``read_csv`` takes them: line breaks and doubled quotes in quoted fields."""
+    reader = spark.readStream.schema(schema).options(header=True, multiLine=True, quote='"', escape='"', maxFilesPerTrigger=files_per_trigger)
+    return reader.csv(folder)
