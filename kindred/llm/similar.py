@@ -131,6 +131,8 @@ def fit_index(sample: np.ndarray, centers: np.ndarray, total: int, probes: int,
 def _matrix(column: pa.Array, kind: type = np.float32) -> np.ndarray:
     """Binary values of one length as the rows of a matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros((0, 1), dtype=kind)
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
     return np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(len(column), -1)
 
@@ -204,8 +206,8 @@ def search_bucket(rows: pa.Table, index: Index, k: int, shortlist: int, least: f
     code_at[own >= 0] = np.arange(len(code_of))
     best = np.full((len(rows), shortlist), -np.inf, dtype=np.float32)  # approximate cosines of the shortlist so far
     who = np.zeros((len(rows), shortlist), dtype=np.int32)
-    for lst, a, b in zip(*np.unique(own[held], return_index=True), np.r_[np.unique(own[held], return_index=True)[1][1:], len(held)], strict=True):
-        members = held[a:b]
+    present, begins = np.unique(own[held], return_index=True)
+    for lst, members in zip(present, np.split(held, begins[1:]), strict=False):
         codes = code_of[code_at[members]]
         askers = asker[np.searchsorted(looks, lst) : np.searchsorted(looks, lst, side="right")]
         step = max(1, min(1024, (1 << 22) // len(members)))
@@ -227,20 +229,20 @@ def search_bucket(rows: pa.Table, index: Index, k: int, shortlist: int, least: f
             names = np.hstack([who[q], members[some].astype(np.int32)])
             keep = np.argpartition(-near, shortlist - 1, axis=1)[:, :shortlist]
             best[q], who[q] = np.take_along_axis(near, keep, 1), np.take_along_axis(names, keep, 1)
-    asks = np.unique(asker)
+    asks = np.unique(asker) if len(held) else asker[:0]
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(asks), 2048):
         q = asks[at : at + 2048]
         cos = np.matmul(vecs[who[q]], vecs[q][:, :, None])[:, :, 0]
         r, c = np.nonzero(np.isfinite(best[q]) & (cos >= least))
         found.append((q[r], who[q[r], c], cos[r, c]))
-    q, n, cos = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, dtype=int) for i in range(3))
+    q, n, cos = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, dtype=np.int64) for i in range(3))
     ids = rows["id"].combine_chunks()
     name = pd.factorize(np.asarray(ids.to_pylist(), dtype=object), sort=True)[0] if len(rows) else np.zeros(0, dtype=int)
     order = np.lexsort((cids[n], name[n], -cos, q))
     q, n, cos = q[order], n[order], cos[order]
     keep = np.arange(len(q)) - np.searchsorted(q, q) < k
-    q, n, cos = q[keep], n[keep], cos[keep]
+    q, n, cos = (x[keep] for x in (q, n, cos))
     return pa.table({"q": pa.array(cids[q]), "n": pa.array(cids[n]), "name": ids.take(pa.array(n)), "cos": pa.array(cos.astype(np.float64))})
 
 

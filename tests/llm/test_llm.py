@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,6 +289,17 @@ def test_nearest_vectors_in_parts_with_shared_refinement(spark):
     assert len(similar.coarse_centers(x[:120].astype(np.float32), 60, np.random.default_rng(1))) == 60
 
 
+def test_a_bucket_without_members_finds_nothing():
+    x = np.eye(4, dtype=np.float32)
+    index = similar.fit_index(x, similar.coarse_centers(x, 2, np.random.default_rng(1)), 4, 2, 2, 10, 1)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(list("abcd")), similar._binary(x)], ["cid", "id", "vec"])
+    rows = pa.Table.from_batches([similar.place_vectors(batch, index)])
+    members = pa.array([v >= 0 for v in rows["list"].to_pylist()])
+    lone = rows.set_column(6, "list", pa.array([-1] * len(rows), pa.int32())).set_column(7, "codes", pa.nulls(len(rows), pa.binary()))
+    assert similar.search_bucket(lone, index, 3, 8, -1.0).num_rows == 0
+    assert sum(v for v in members.to_pylist()) == 4 and similar.search_bucket(rows.filter(pa.array([b == rows["bucket"][0].as_py() for b in rows["bucket"].to_pylist()])), index, 3, 8, -1.0).num_rows > 0
+
+
 def test_equal_cosines_go_to_smaller_keys(spark, monkeypatch):
     monkeypatch.setattr(similar, "LEAST_PROBES", 99)  # all lists
     data = [("q", [1.0, 0.0, 0.0])] + [(f"n{i}", [0.9, 0.1 * np.cos(i), 0.1 * np.sin(i)]) for i in (3, 1, 2)] + [("z", [0.5, 0.5, 0.0]), ("a", [0.5, -0.5, 0.0]), ("m", [0.5, 0.0, 0.5])]
