@@ -12,10 +12,14 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.session import Scratch
 
-def _usable(scored: DataFrame, label: str, proba: str) -> DataFrame:
+
+def _levels(scored: DataFrame, label: str, proba: str) -> DataFrame:
+    """(label, p, w): distinct usable rows and how often each occurs, written once for all passes of a fit."""
     good = scored.where(F.col(label).isin(0, 1) & F.col(proba).isNotNull() & ~F.isnan(proba) & (F.abs(proba) < float("inf")))
-    return good.select(F.col(label).cast("double").alias("label"), F.col(proba).cast("double").alias("p"))
+    rows = good.select(F.col(label).cast("double").alias("label"), F.col(proba).cast("double").alias("p"))
+    return Scratch(scored.sparkSession).save(rows.groupBy("label", "p").agg(F.count("*").cast("double").alias("w")))
 
 
 @dataclass(frozen=True)
@@ -51,7 +55,7 @@ class Isotonic:
 
 def fit_sigmoid(scored: DataFrame, label: str, proba: str) -> Sigmoid:
     """Logistic regression on the probability, with the penalty |slope|^2 / (2 n); equal probabilities are weighted, not repeated."""
-    rows = _usable(scored, label, proba).groupBy("label", "p").agg(F.count("*").cast("double").alias("w")).withColumn("features", array_to_vector(F.array("p")))
+    rows = _levels(scored, label, proba).withColumn("features", array_to_vector(F.array("p")))
     total = rows.agg(F.sum("w"), F.count_distinct("label")).first()
     if total[1] != 2:
         raise ValueError("calibration needs both classes")
@@ -61,7 +65,7 @@ def fit_sigmoid(scored: DataFrame, label: str, proba: str) -> Sigmoid:
 
 def fit_isotonic(scored: DataFrame, label: str, proba: str) -> Isotonic:
     """Monotone fit; the model is as small as the number of distinct levels."""
-    rows = _usable(scored, label, proba).groupBy("label", "p").agg(F.count("*").cast("double").alias("w"))
+    rows = _levels(scored, label, proba)
     if rows.select("label").distinct().count() != 2:
         raise ValueError("calibration needs both classes")
     model = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="w").fit(rows)

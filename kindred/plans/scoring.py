@@ -15,6 +15,7 @@ from kindred.operators import metrics
 from kindred.operators.calibration import Isotonic, Sigmoid, fit_isotonic, fit_sigmoid
 from kindred.operators.model import train
 from kindred.plans.texts import table
+from kindred.session import Scratch
 
 SIGMOID = Sigmoid(5.0, -2.0)
 ISOTONIC = Isotonic((0.0, 0.25, 0.5, 1.0), (0.1, 0.3, 0.6, 0.9))
@@ -28,8 +29,9 @@ def _rounded(df: DataFrame, names: list[str]) -> DataFrame:
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     pairs = table(spark, sf, "smoke_pairs").where("is_duplicate in (0, 1)")
-    similarity = word_jaccard(clean_text(F.col("question1")), clean_text(F.col("question2")))
-    return pairs.select("row_id", F.col("is_duplicate").alias("y"), F.round(similarity, 2).alias("p"), "lang", F.lower(F.trim("source")).alias("source"))
+    # columns of their own: inside the similarity each text would be cleaned once for every time it is named
+    cleaned = pairs.select("row_id", F.col("is_duplicate").alias("y"), "lang", F.lower(F.trim("source")).alias("source"), clean_text(F.col("question1")).alias("a"), clean_text(F.col("question2")).alias("b"))
+    return cleaned.select("row_id", "y", F.round(word_jaccard(F.col("a"), F.col("b")), 2).alias("p"), "lang", "source")
 
 
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,8 +82,13 @@ def apply_isotonic(spark: SparkSession, sf: str) -> DataFrame:
     return scored(spark, sf).select("row_id", F.round(ISOTONIC.apply(F.col("p")), 6).alias("calibrated"))
 
 
+def _kept_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The scores written once: a fit and its application read them several times."""
+    return Scratch(spark).save(scored(spark, sf).select("row_id", "y", "p"))
+
+
 def fitted_sigmoid(spark: SparkSession, sf: str) -> DataFrame:
-    rows = scored(spark, sf)
+    rows = _kept_scores(spark, sf)
     return rows.select("row_id", fit_sigmoid(rows, "y", "p").apply(F.col("p")).alias("calibrated"))
 
 

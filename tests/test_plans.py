@@ -2,7 +2,7 @@
 
 import inspect
 
-from kindred.operators import model
+from kindred.operators import calibration, model
 from kindred.plans import scoring, searching
 
 
@@ -38,3 +38,28 @@ def test_trees_stop_by_patience_alone(spark, monkeypatch):
     long, short = (model.train(df, trees=n, depth=2).trees for n in (6, 3))
     cut = model.first_trees(long, 3)
     assert cut.getNumTrees == 3 and cut.toDebugString.split("\n")[1:] == short.toDebugString.split("\n")[1:] and cut.treeWeights == short.treeWeights
+
+
+def test_scores_clean_each_text_once(spark, tmp_path):
+    """Inside the similarity a text was cleaned for every time it is named."""
+    schema = "row_id long, question1 string, question2 string, is_duplicate int, lang string, source string"
+    spark.createDataFrame([(1, "a b", "B, a", 1, "en", "forum"), (2, "a b", "c", 0, "en", "forum")], schema).write.parquet(str(tmp_path / "smoke_pairs.parquet"))
+    scores = scoring.scored(spark, str(tmp_path))
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 2
+    assert {r["row_id"]: r["p"] for r in scores.collect()} == {1: 1.0, 2: 0.0}
+
+
+def test_a_fit_reads_its_scores_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for r in rows:
+            read.add(1)
+            yield r
+
+    rows = spark.createDataFrame(spark.sparkContext.parallelize([(i % 2, ((i * 7) % 20 + i % 2) / 21) for i in range(100)], 2).mapPartitions(seen), "y int, p double")
+    calibration.fit_sigmoid(rows, "y", "p")
+    assert read.value == 100
+    calibration.fit_isotonic(rows, "y", "p")
+    assert read.value == 200
