@@ -1,9 +1,14 @@
 """Queries do the whole job of their operators."""
 
 import inspect
+import time
 
+from pyspark.sql import functions as F
+
+from kindred.llm import edits
 from kindred.operators import calibration, model
 from kindred.plans import scoring, searching
+from kindred.session import Scratch
 
 
 def test_mining_meets_fifty_candidates(spark, tmp_path):
@@ -63,3 +68,29 @@ def test_a_fit_reads_its_scores_once(spark):
     assert read.value == 100
     calibration.fit_isotonic(rows, "y", "p")
     assert read.value == 200
+
+
+def test_release_frees_shuffle_files(spark):
+    """The files of finished jobs went only when the driver happened to collect its garbage."""
+    tracker = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    scratch = Scratch(spark)
+    kept = scratch.save(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")))
+    assert tracker().shuffleStatuses().size() > 0
+    scratch.release()
+    after = tracker().shuffleStatuses().size()
+    for _ in range(50):
+        if not (after := tracker().shuffleStatuses().size()):
+            break
+        time.sleep(0.1)
+    assert after == 0 and kept.count() == 7
+
+
+def test_word_groups_broadcast_nothing(spark):
+    sets = spark.createDataFrame([(i, f"a\tb\tw{i}") for i in range(50)], "set_id long, shingles string")
+    broadcasts = []
+    was, F.broadcast = F.broadcast, lambda df: broadcasts.append(df) or was(df)
+    try:
+        assert edits.word_groups(sets, edits.word_counts(sets)).items() == {"b": "a"}.items()
+    finally:
+        F.broadcast = was
+    assert not broadcasts
