@@ -1,11 +1,12 @@
 """Queries do the whole job of their operators."""
 
 import inspect
+import os
 import time
 
 from pyspark.sql import functions as F
 
-from kindred.llm import edits
+from kindred.llm import edits, overlap
 from kindred.operators import calibration, model
 from kindred.plans import scoring, searching
 from kindred.session import Scratch
@@ -94,3 +95,12 @@ def test_word_groups_broadcast_nothing(spark):
     finally:
         F.broadcast = was
     assert not broadcasts
+
+
+def test_overlaps_leave_two_tables(spark):
+    """What later steps don't read is dropped on the way."""
+    scratch = Scratch(spark)
+    data = [(1, "train", "a b c d e"), (2, "test", "a b c d e"), (3, "test", "x y")]
+    found = overlap.split_overlaps(spark.createDataFrame(data, "id long, split string, q string"), "id", "split", ["q"], scratch=scratch).collect()
+    assert [(r["train_key"], r["other_key"]) for r in found] == [(1, 2)]
+    assert len(os.listdir(scratch.root.removeprefix("file://"))) == 2
