@@ -47,7 +47,7 @@ def best_per_query(hits: DataFrame, k: int, score: str = "score") -> DataFrame:
 def _search_blocks(k: int, width: int):
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Queries ``left`` against entries ``right``."""
-        empty = pd.DataFrame({"query": pd.Series(dtype=str), "question_id": pd.Series(dtype=str), "score": pd.Series(dtype=float)})
+        empty = pd.DataFrame({"query": pd.Series(dtype=np.int64), "question_id": pd.Series(dtype=str), "score": pd.Series(dtype=float)})
         if left.empty or right.empty:
             return empty
         right = right.sort_values("id", kind="stable")
@@ -64,19 +64,18 @@ def _search_blocks(k: int, width: int):
             for t, w in zip(ts, ws, strict=True):
                 a, b = bounds[t], bounds[t + 1]
                 scores[owner[a:b]] += w * weights[a:b]  # an entry holds a term once
-            scores = np.round(scores, DIGITS)
-            if len(scores) > k:
-                least = np.partition(scores, len(scores) - k)[len(scores) - k]
-                some = np.flatnonzero(scores >= max(least, 10.0**-DIGITS / 2))
-            else:
-                some = np.flatnonzero(scores > 0)
-            best = some[np.argsort(-scores[some], kind="stable")][:k]  # ids are in order, so ties go to smaller ones
-            out_q += [query] * len(best)
-            out_i.append(ids[best])
-            out_s.append(scores[best])
+            # the k-th score, less what rounding may move: only entries from there on are rounded and ordered
+            least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
+            some = np.flatnonzero(scores >= max(least - 2 * 10.0**-DIGITS, 10.0**-DIGITS / 4))
+            rounded = np.round(scores[some], DIGITS)
+            some, rounded = some[rounded > 0], rounded[rounded > 0]
+            best = np.argsort(-rounded, kind="stable")[:k]  # ids are in order, so ties go to smaller ones
+            out_q.append(np.full(len(best), query))
+            out_i.append(ids[some[best]])
+            out_s.append(rounded[best])
         if not out_i:
             return empty
-        return pd.DataFrame({"query": out_q, "question_id": np.concatenate(out_i), "score": np.concatenate(out_s)})
+        return pd.DataFrame({"query": np.concatenate(out_q), "question_id": np.concatenate(out_i), "score": np.concatenate(out_s)})
 
     return search
 
@@ -122,20 +121,44 @@ def tfidf_search(
         raise ValueError("k must be at least 1")
     scratch = scratch or Scratch(queries.sparkSession)
     index = catalog if isinstance(catalog, TfidfIndex) else fit_index(catalog, max_features, scratch)
-    asked, n_asked = scratch.save_counted(queries.select("query").where("query is not null").distinct())
-    n_left, n_right = (max(1, -(-n // block_rows)) for n in (n_asked, index.size))
-    some = lambda df, key, blocks: df.where(F.size("terms") > 0).select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), F.col(key).alias("id"), "terms", "weights")
-    left, right = some(text_vectors(asked, index.idf, "query", "query"), "query", n_left), some(index.entries, "question_id", n_right)
+    asked = scratch.save(queries.select("query").where("query is not null").distinct().withColumn("id", F.monotonically_increasing_id()))
+    vectors = text_vectors(asked.select("id", "query"), index.idf, "id", "query")
+    of_vector = Window.partitionBy("terms", "weights")
+    # equal vectors are one row before anything is compared: a query stands for all of its vector, and an entry for the k smallest ids of its own
+    alike, n_asked = scratch.save_counted(_once(vectors.withColumn("first", F.min("id").over(of_vector)), "id"), F.col("id") == F.col("first"))
+    placed = index.entries.where(F.size("terms") > 0).withColumn("place", F.row_number().over(of_vector.orderBy("question_id"))).where(F.col("place") <= k)
+    members, n_entries = scratch.save_counted(_once(placed.withColumn("first", F.min("question_id").over(of_vector)).drop("place"), "question_id"), F.col("question_id") == F.col("first"))
+    n_left, n_right = (max(1, -(-n // block_rows)) for n in (n_asked, n_entries))
+    some = lambda df, key, blocks: df.where((F.col(key) == F.col("first")) & (F.size("terms") > 0)).select(
+        F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), F.col(key).alias("id"), "terms", "weights"
+    )
+    left, right = some(alike, "id", n_left), some(members, "question_id", n_right)
     each = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     left = left.select(F.col("block").alias("a"), each("b", n_right), "id", "terms", "weights")
     right = right.select(each("a", n_left), F.col("block").alias("b"), "id", "terms", "weights")
     search = _search_blocks(k, len(index.idf))
-    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(lambda x, y: search(x, y), "query string, question_id string, score double")
+    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(lambda x, y: search(x, y), "query long, question_id string, score double")
     hits = met if n_right == 1 else best_per_query(met, k).drop("rank")
-    first = index.entries.select("question_id").orderBy("question_id").limit(k)
-    fill = asked.crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))  # k rows
-    every = scratch.save(hits.unionByName(fill)).groupBy("query", "question_id").agg(F.max("score").alias("score"))
-    return best_per_query(every, k)
+    hits = scratch.save(hits.withColumnRenamed("question_id", "first"))
+    scratch.release()
+    ranked = scratch.save(best_per_query(hits.join(members.select("first", "question_id"), "first").select("query", "question_id", "score"), k))
+    # only lists that aren't full need entries of score 0, and only the k smallest ids of the catalogue can be among those
+    counts = ranked.groupBy("query").agg(F.max("rank").alias("n"))
+    short = alike.where("id = first").select(F.col("id").alias("query")).join(counts, "query", "left").select("query", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
+    least = index.entries.select("question_id").orderBy("question_id").limit(k)
+    zero = short.crossJoin(F.broadcast(least)).join(ranked.select("query", "question_id"), ["query", "question_id"], "left_anti")  # k rows are broadcast
+    place = F.col("n") + F.row_number().over(Window.partitionBy("query").orderBy("question_id"))
+    fill = zero.select("query", "question_id", F.lit(0.0).alias("score"), place.alias("rank")).where(F.col("rank") <= k)
+    every = scratch.save(ranked.unionByName(fill))
+    scratch.release()
+    texts = asked.join(alike.select("id", "first"), "id").select("query", "first")
+    return every.withColumnRenamed("query", "first").join(texts, "first").select("query", "question_id", "score", "rank")
+
+
+def _once(rows: DataFrame, key: str) -> DataFrame:
+    """(key, first, terms, weights): a vector stands only with the first of its keys."""
+    own = F.col(key) == F.col("first")
+    return rows.select(key, "first", F.when(own, F.col("terms")).alias("terms"), F.when(own, F.col("weights")).alias("weights"))
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = 10, block_rows: int = 8192) -> DataFrame:

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from kindred.llm import edits, overlap
-from kindred.operators import calibration, model
+from kindred.operators import calibration, model, retrieval
 from kindred.plans import scoring, searching
 from kindred.session import Scratch
 
@@ -104,3 +104,28 @@ def test_overlaps_leave_two_tables(spark):
     found = overlap.split_overlaps(spark.createDataFrame(data, "id long, split string, q string"), "id", "split", ["q"], scratch=scratch).collect()
     assert [(r["train_key"], r["other_key"]) for r in found] == [(1, 2)]
     assert len(os.listdir(scratch.root.removeprefix("file://"))) == 2
+
+
+def test_equal_vectors_are_compared_once(spark, monkeypatch):
+    """20 entries and 10 queries of one vector meet as one of each; lists and ties are those of a full ranking."""
+    plain = retrieval._search_blocks
+
+    def blocks(k, width):
+        search = plain(k, width)
+
+        def counted(left, right):
+            assert len(left) <= 1 and len(right) <= 2
+            return search(left, right)
+
+        return counted
+
+    monkeypatch.setattr(retrieval, "_search_blocks", blocks)
+    catalog = spark.createDataFrame([(f"e{i:02}", "red fox!" if i % 2 else "red fox") for i in range(20)] + [("a", "blue bird"), ("z", "green")], "question_id string, question string")
+    queries = spark.createDataFrame([(f"red{'?' * i} fox",) for i in range(10)] + [("",), (None,)], "query string")
+    hits = {}
+    for r in retrieval.tfidf_search(queries, catalog, 21, max_features=4).collect():
+        hits.setdefault(r["query"], []).append((r["rank"], r["question_id"], r["score"]))
+    assert len(hits) == 11
+    full = [f"e{i:02}" for i in range(20)]
+    assert sorted(hits.pop("")) == [(i + 1, q, 0.0) for i, q in enumerate(["a", *full])]
+    assert all([q for _, q, _ in sorted(h)] == [*full, "a"] and sorted(h)[19][2] == 1.0 and sorted(h)[20] == (21, "a", 0.0) for h in hits.values())
