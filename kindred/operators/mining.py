@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kindred.functions.text import clean_text
 from kindred.operators.audit import question_texts
 from kindred.operators.graph import connected_components
-from kindred.operators.retrieval import tfidf_search
+from kindred.operators.retrieval import BLOCK_ROWS, TfidfIndex, fit_index, hit_lists
 from kindred.operators.split import seeded_rank
 from kindred.session import Scratch
 
@@ -27,6 +27,46 @@ def sampled_rows(rows: DataFrame, key: str, most: int | None, seed: int) -> Data
     return rows.orderBy(seeded_rank(F.col(key), seed), key).limit(most)
 
 
+def _lists(
+    df: DataFrame, key: str, candidate_k: int, max_positive_rows: int | None, seed: int, scratch: Scratch
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Anchors (row, anchor_side, anchor, text, own, tag, first), lists (first, hits) of their texts, the catalogue (question_id, question, place).
+
+    Ids and groups are numbers: ``own`` is the place of the anchor, ``tag`` the place of the smallest id of a component. Anchors with texts of
+    equal vectors share one list, so candidates are rows only when they are asked for.
+    """
+    given = df.where("trim(qid1) <> '' and trim(qid2) <> '' and trim(question1) <> '' and trim(question2) <> '' and is_duplicate in (0, 1)")
+    rows = scratch.save(given.select(F.col(key).alias("row"), F.trim("qid1").alias("qid1"), F.trim("qid2").alias("qid2"), "question1", "question2", "is_duplicate"))
+    texts = question_texts(rows, "row", [("qid1", "question1"), ("qid2", "question2")], clean_text).select(F.col("qid").alias("question_id"), "question")
+    catalog = scratch.save(texts.orderBy("question_id").withColumn("place", F.monotonically_increasing_id()))
+    scratch.release()
+    positive = rows.where("is_duplicate = 1")
+    edges = positive.select(F.col("qid1").alias("src"), F.col("qid2").alias("dst"))
+    groups = connected_components(edges, catalog.select(F.col("question_id").alias("node")), scratch)
+    members = groups.select(F.col("node").alias("question_id"), "group").join(catalog.select("question_id", "place"), "question_id")
+    ids = scratch.save(members.join(catalog.select(F.col("question_id").alias("group"), F.col("place").alias("tag")), "group").select("question_id", "place", "tag"))
+    scratch.release()
+    index = fit_index(catalog, scratch=scratch)
+    entries = scratch.save(index.entries.join(ids, "question_id"))
+    scratch.drop(index.entries)
+    index = TfidfIndex(index.idf, entries, index.size)
+    scratch.release()
+    sides = F.array(*[F.struct(F.lit(f"qid{i}").alias("anchor_side"), F.col(f"qid{i}").alias("anchor"), F.col(f"question{i}").alias("text")) for i in (1, 2)])
+    anchors = sampled_rows(positive, "row", max_positive_rows, seed).select("row", F.inline(sides))
+    asked, lists = hit_lists(anchors.select(F.col("text").alias("query")), index, entries, candidate_k, BLOCK_ROWS, scratch)
+    lists = scratch.save(lists)
+    named = ids.select(F.col("question_id").alias("anchor"), F.col("place").alias("own"), "tag")
+    anchors = scratch.save(anchors.join(asked.withColumnRenamed("query", "text"), "text").join(named, "anchor"))
+    scratch.release()
+    return anchors, lists, catalog
+
+
+def _eligible(anchors: DataFrame, lists: DataFrame) -> DataFrame:
+    """``anchors`` with ``found``: the hits (rank, score, place) outside their component."""
+    ranked = F.transform("hits", lambda h, i: F.struct((i + 1).alias("rank"), h["score"].alias("score"), h["place"].alias("place"), h["tag"].alias("tag")))
+    return anchors.join(lists, "first").withColumn("found", F.filter(ranked, lambda h: h["tag"] != F.col("tag"))).drop("hits")
+
+
 def candidate_pairs(
     df: DataFrame, key: str = "row_id", candidate_k: int = 50, max_positive_rows: int | None = None, seed: int = 42, scratch: Scratch | None = None
 ) -> DataFrame:
@@ -35,23 +75,22 @@ def candidate_pairs(
     ``df``: (key, qid1, qid2, question1, question2, is_duplicate); rows without both ids or texts or a 0/1 label take no part. The catalogue
     holds the first text of each id. With ``max_positive_rows`` only so many positive rows, drawn by ``seed``, are anchors; catalogue and components hold all. The rank is that of the whole hit list, before entries of the anchor's positive component are dropped.
     """
-    scratch = scratch or Scratch(df.sparkSession)
-    given = df.where("trim(qid1) <> '' and trim(qid2) <> '' and trim(question1) <> '' and trim(question2) <> '' and is_duplicate in (0, 1)")
-    rows = scratch.save(given.select(F.col(key).alias("row"), F.trim("qid1").alias("qid1"), F.trim("qid2").alias("qid2"), "question1", "question2", "is_duplicate"))
-    catalog = scratch.save(question_texts(rows, "row", [("qid1", "question1"), ("qid2", "question2")], clean_text).select(F.col("qid").alias("question_id"), "question"))
-    positive = rows.where("is_duplicate = 1")
-    edges = positive.select(F.col("qid1").alias("src"), F.col("qid2").alias("dst"))
-    groups = scratch.save(connected_components(edges, catalog.select(F.col("question_id").alias("node")), scratch))
-    sides = F.array(*[F.struct(F.lit(f"qid{i}").alias("anchor_side"), F.col(f"qid{i}").alias("anchor"), F.col(f"question{i}").alias("text")) for i in (1, 2)])
-    anchors = sampled_rows(positive, "row", max_positive_rows, seed).select("row", F.col("qid1").alias("node"), F.inline(sides)).join(groups, "node").drop("node")
-    hits = scratch.save(tfidf_search(anchors.select(F.col("text").alias("query")), catalog, candidate_k, scratch=scratch))
-    placed = hits.join(groups.toDF("question_id", "other"), "question_id").join(catalog, "question_id")
-    met = anchors.join(placed, anchors["text"] == placed["query"]).where(F.col("group") != F.col("other"))
+    anchors, lists, catalog = _lists(df, key, candidate_k, max_positive_rows, seed, scratch or Scratch(df.sparkSession))
+    met = _eligible(anchors, lists).select("row", "anchor_side", "anchor", "text", F.inline("found")).drop("tag").join(catalog, "place")
     return met.select(
         "row", "anchor_side", F.col("anchor").alias("qid1"), F.col("question_id").alias("qid2"), F.col("text").alias("question1"), F.col("question").alias("question2"), "rank", "score"
     )
 
 
+def candidate_counts(
+    df: DataFrame, key: str = "row_id", candidate_k: int = 50, max_positive_rows: int | None = None, seed: int = 42, scratch: Scratch | None = None
+) -> DataFrame:
+    """(row, anchor_side, n, best_rank): how many ``candidate_pairs`` there are and their smallest rank, without a row for each."""
+    anchors, lists, _ = _lists(df, key, candidate_k, max_positive_rows, seed, scratch or Scratch(df.sparkSession))
+    found = _eligible(anchors, lists).where(F.size("found") > 0).select("row", "anchor_side", F.size("found").alias("n"), F.array_min("found.rank").alias("rank"))
+    return found.groupBy("row", "anchor_side").agg(F.sum("n").alias("n"), F.min("rank").alias("best_rank"))
+
+
 def serial_choice(candidates: DataFrame, n: int, scratch: Scratch, max_rounds: int = 10_000) -> DataFrame:
     """(row, lo, hi, at): each row's first ``n`` entries (at: its order) that no earlier row has taken."""
     remaining = scratch.save(candidates.select("row", "lo", "hi", "at"))

@@ -1,8 +1,9 @@
 """Top-k retrieval of catalogue entries for all queries at once, and reranking.
 
 Sparse search keeps the semantics of a full ranking by (-score, id), zero scores included: entries that share no term with a query
-all score 0, so only the k smallest ids of the catalogue can fill up its list. The stated queries meet all entries in blocks: each
-pair of blocks multiplies one set of posting arrays, and only k hits a query leave it. The work is the product of queries and entries.
+all score 0, so only the k smallest ids of the catalogue can fill up its list. The stated queries meet all entries in blocks, and only
+k hits a query leave a pair of blocks. The frequent parts of vectors are multiplied once for each pair of their patterns, of which there
+are few; postings are read only of rare terms. The work still grows with the product of queries and entries.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from kindred.functions.text import strip_space
 from kindred.operators.tfidf import MAX_FEATURES, fit_vocabulary, idf_table, text_vectors
 from kindred.session import Scratch
 
+BLOCK_ROWS = 8192
 DIGITS = 9  # scores are rounded before they are ranked, so sums in another order rank alike
 
 
@@ -44,42 +47,157 @@ def best_per_query(hits: DataFrame, k: int, score: str = "score") -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+FREQUENT = 25  # a term in more than one of so many entries is frequent
+
+
+def _patterns(ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pattern of each row, length of its frequent part, the patterns as unit rows over the frequent terms).
+
+    ``column``: the place of a term among the frequent ones, or -1. Rows whose frequent parts point the same way have one pattern.
+    """
+    n = len(ends) - 1
+    row = np.repeat(np.arange(n), np.diff(ends))
+    some = column[terms] >= 0
+    row, col, weight = row[some], column[terms[some]], weights[some]
+    ends = np.searchsorted(row, np.arange(n + 1))
+    length = np.sqrt(np.bincount(row, weights=weight * weight, minlength=n))
+    key = np.empty((len(row), 2))
+    key[:, 0], key[:, 1] = col, np.round(weight / weight[ends[row]], 12)
+    raw, at = key.tobytes(), (ends * 16).tolist()
+    seen: dict[bytes, int] = {}
+    pattern = np.fromiter((seen.setdefault(raw[a:b], len(seen)) for a, b in zip(at, at[1:])), np.int64, n)  # noqa: B905
+    first = np.full(len(seen), n)
+    np.minimum.at(first, pattern, np.arange(n))
+    units = np.zeros((len(seen), int(column.max(initial=-1)) + 1))
+    own = first[pattern[row]] == row
+    units[pattern[row[own]], col[own]] = weight[own] / length[row[own]]
+    return pattern, length, units
+
+
 def _search_blocks(k: int, width: int):
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Queries ``left`` against entries ``right``."""
-        empty = pd.DataFrame({"query": pd.Series(dtype=np.int64), "question_id": pd.Series(dtype=str), "score": pd.Series(dtype=float)})
-        if left.empty or right.empty:
-            return empty
-        right = right.sort_values("id", kind="stable")
-        ids = right["id"].to_numpy()
-        sizes = right["terms"].map(len).to_numpy()
-        terms, weights = np.concatenate(right["terms"].to_numpy()), np.concatenate(right["weights"].to_numpy())
-        owner = np.repeat(np.arange(len(ids)), sizes)
-        order = np.argsort(terms, kind="stable")
-        terms, weights, owner = terms[order], weights[order], owner[order]
-        bounds = np.searchsorted(terms, np.arange(width + 1))
-        out_q, out_i, out_s = [], [], []
-        for query, ts, ws in zip(left["id"], left["terms"], left["weights"], strict=True):
-            scores = np.zeros(len(ids))
-            for t, w in zip(ts, ws, strict=True):
-                a, b = bounds[t], bounds[t + 1]
-                scores[owner[a:b]] += w * weights[a:b]  # an entry holds a term once
-            # the k-th score, less what rounding may move: only entries from there on are rounded and ordered
-            least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
-            some = np.flatnonzero(scores >= max(least - 2 * 10.0**-DIGITS, 10.0**-DIGITS / 4))
-            rounded = np.round(scores[some], DIGITS)
-            some, rounded = some[rounded > 0], rounded[rounded > 0]
-            best = np.argsort(-rounded, kind="stable")[:k]  # ids are in order, so ties go to smaller ones
-            out_q.append(np.full(len(best), query))
-            out_i.append(ids[some[best]])
-            out_s.append(rounded[best])
-        if not out_i:
-            return empty
-        return pd.DataFrame({"query": np.concatenate(out_q), "question_id": np.concatenate(out_i), "score": np.concatenate(out_s)})
+    def flat(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+        lists = table[name].combine_chunks()
+        ends = lists.offsets.to_numpy()
+        return ends - ends[0], lists.flatten().to_numpy(zero_copy_only=False)
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Queries ``left`` (id, terms, weights) against entries ``right`` (terms, weights, places, tags).
+
+        A score is the product of the frequent parts, which is computed once for each pair of patterns, and what rare terms add. So the k best of
+        a query are among the k best of its pattern by frequent terms alone and the entries that share a rare term with it.
+        """
+        if not left.num_rows or not right.num_rows:
+            return _hit_table([], [], [], [], [])
+        ends, terms = flat(right, "terms")
+        weights = flat(right, "weights")[1]
+        asked_ends, asked_terms = flat(left, "terms")
+        asked_weights = flat(left, "weights")[1]
+        n = len(ends) - 1
+        column = np.full(width, -1)
+        frequent = np.flatnonzero(np.bincount(terms, minlength=width) * FREQUENT > n)
+        column[frequent] = np.arange(len(frequent))
+        pattern, length, units = _patterns(ends, terms, weights, column)
+        # entries are numbered by pattern from here on
+        order = np.argsort(pattern, kind="stable")
+        number = np.empty(n, np.int64)
+        number[order] = np.arange(n)
+        copies, length = np.bincount(pattern), length[order]
+        longest = np.maximum.reduceat(length, np.cumsum(copies) - copies)
+        owner = number[np.repeat(np.arange(n), np.diff(ends))]
+        rare = column[terms] < 0
+        owner, rare_terms, rare_weights = owner[rare], terms[rare], weights[rare]
+        by_term = np.argsort(rare_terms, kind="stable")
+        owner, rare_weights = owner[by_term], rare_weights[by_term]
+        bounds = np.searchsorted(rare_terms[by_term], np.arange(width + 1)).tolist()
+        member_ends, places = flat(right, "places")
+        tags = flat(right, "tags")[1]
+        begin, size = member_ends[:-1][order], np.diff(member_ends)[order]
+
+        asked_pattern, asked_length, asked_units = _patterns(asked_ends, asked_terms, asked_weights, column)
+        asked_length = np.where(asked_length > 0, asked_length, 1.0)
+        by_pattern = np.argsort(asked_pattern, kind="stable")
+        groups = np.searchsorted(asked_pattern[by_pattern], np.arange(len(asked_units) + 1))
+        ids = left["id"].to_numpy()
+        out_q, out_n, out_s, out_p, out_t = [], [], [], [], []
+        of_entry, base, scores = pattern[order], np.empty(n), np.empty(n)
+        for start in range(0, len(asked_units), 256):
+            products = asked_units[start : start + 256] @ units.T
+            for g, product in enumerate(products, start):
+                np.take(product, of_entry, out=base, mode="clip")
+                base *= length
+                rows = by_pattern[groups[g] : groups[g + 1]]
+                slack = 2 * 10.0**-DIGITS / asked_length[rows].min()  # what rounding may move
+                # the k-th of the patterns' best is at most the k-th of all entries
+                top = product * longest
+                least = np.partition(top, len(top) - k)[len(top) - k] if len(top) > k else 0.0
+                listed = np.flatnonzero(base >= max(least - slack, 1e-300))
+                if len(listed):
+                    listed = listed[np.argsort(-base[listed], kind="stable")]
+                    full = np.searchsorted(np.cumsum(size[listed]), k)
+                    least = base[listed[full]] if full < len(listed) else 0.0
+                    listed = listed[base[listed] >= least - slack]
+                else:
+                    least = 0.0
+                np.copyto(scores, base)
+                for r in rows:
+                    f = asked_length[r]
+                    met = []
+                    for t, w in zip(asked_terms[asked_ends[r] : asked_ends[r + 1]].tolist(), (asked_weights[asked_ends[r] : asked_ends[r + 1]] / f).tolist(), strict=True):
+                        a, b = bounds[t], bounds[t + 1]
+                        if a < b:
+                            held = owner[a:b]
+                            scores[held] += w * rare_weights[a:b]  # an entry holds a term once
+                            met.append(held)
+                    found, values, limit = [listed], [scores[listed]], least - slack
+                    for held in met:
+                        value = scores[held]
+                        keep = np.flatnonzero(value >= limit)
+                        held, value = held[keep], value[keep]
+                        if len(value) > 2 * k:
+                            limit = max(limit, np.partition(value, len(value) - k)[len(value) - k] - slack)  # k different entries reach that
+                        found.append(held)
+                        values.append(value)
+                    some, value = np.concatenate(found), np.concatenate(values)
+                    if met:
+                        keep = np.flatnonzero(value >= limit)
+                        some, first = np.unique(some[keep], return_index=True)
+                        value = value[keep[first]]
+                    rounded = np.round(value * f, DIGITS)
+                    for held in met:
+                        scores[held] = base[held]
+                    if not len(some):
+                        continue
+                    best = np.argsort(-rounded, kind="stable")
+                    some, rounded = some[best], rounded[best]
+                    full = np.searchsorted(np.cumsum(size[some]), k)
+                    cut = np.searchsorted(-rounded, -max(rounded[full] if full < len(some) else 0.0, 10.0**-DIGITS / 2), side="right")
+                    some, rounded = some[:cut], rounded[:cut]
+                    n_each = size[some]
+                    total = np.cumsum(n_each)
+                    at = np.arange(total[-1] if cut else 0) + np.repeat(begin[some] - total + n_each, n_each)
+                    score, place = np.repeat(rounded, n_each), places[at]
+                    best = np.lexsort((place, -score))[:k]
+                    if len(best):
+                        out_q.append(ids[r])
+                        out_n.append(len(best))
+                        out_s.append(score[best])
+                        out_p.append(place[best])
+                        out_t.append(tags[at[best]])
+        return _hit_table(out_q, out_n, out_s, out_p, out_t)
 
     return search
 
 
+_HITS = "array<struct<score: double, place: bigint, tag: bigint>>"
+
+
+def _hit_table(queries: list, sizes: list, scores: list, places: list, tags: list) -> pa.Table:
+    joined = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind) if parts else np.empty(0, kind))
+    hits = pa.StructArray.from_arrays([joined(scores, np.float64), joined(places, np.int64), joined(tags, np.int64)], ["score", "place", "tag"])
+    ends = pa.array(np.cumsum([0, *sizes]).astype(np.int32))
+    return pa.table({"first": pa.array(queries, pa.int64()), "hits": pa.ListArray.from_arrays(ends, hits)})
+
+
 @dataclass
 class TfidfIndex:
     """A fitted catalogue: the vocabulary, and a table of vectors (question_id, terms, weights) of all usable entries."""
@@ -110,7 +228,7 @@ def fit_index(catalog: DataFrame, max_features: int = MAX_FEATURES, scratch: Scr
 
 
 def tfidf_search(
-    queries: DataFrame, catalog: DataFrame | TfidfIndex, k: int = 10, max_features: int = MAX_FEATURES, block_rows: int = 8192, scratch: Scratch | None = None
+    queries: DataFrame, catalog: DataFrame | TfidfIndex, k: int = 10, max_features: int = MAX_FEATURES, block_rows: int = BLOCK_ROWS, scratch: Scratch | None = None
 ) -> DataFrame:
     """(query, question_id, score, rank) for every distinct query text: the k entries of highest cosine, zero scores included.
 
@@ -121,38 +239,56 @@ def tfidf_search(
         raise ValueError("k must be at least 1")
     scratch = scratch or Scratch(queries.sparkSession)
     index = catalog if isinstance(catalog, TfidfIndex) else fit_index(catalog, max_features, scratch)
+    numbered = index.entries.orderBy("question_id").select("*", F.monotonically_increasing_id().alias("place"), F.lit(0).cast("long").alias("tag"))
+    entries = scratch.save(numbered)
+    asked, lists = hit_lists(queries, index, entries, k, block_rows, scratch)
+    each = lists.select("first", F.posexplode("hits").alias("at", "hit")).select("first", "hit.place", "hit.score", (F.col("at") + 1).alias("rank"))
+    named = each.join(entries.select("place", "question_id"), "place")
+    return named.join(asked, "first").select("query", "question_id", "score", "rank")
+
+
+def hit_lists(queries: DataFrame, index: TfidfIndex, entries: DataFrame, k: int, block_rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(query, first) and (first, hits): the list of each distinct query vector, which the queries with the same ``first`` share.
+
+    ``entries``: those of the index with ``place``, a long in the order of question_id, and ``tag``, a long that comes with each hit. Hits are (score, place, tag), best first, zero scores included.
+    """
     asked = scratch.save(queries.select("query").where("query is not null").distinct().withColumn("id", F.monotonically_increasing_id()))
-    vectors = text_vectors(asked.select("id", "query"), index.idf, "id", "query")
+    vectors = text_vectors(asked, index.idf, "id", "query")
     of_vector = Window.partitionBy("terms", "weights")
     # equal vectors are one row before anything is compared: a query stands for all of its vector, and an entry for the k smallest ids of its own
     alike, n_asked = scratch.save_counted(_once(vectors.withColumn("first", F.min("id").over(of_vector)), "id"), F.col("id") == F.col("first"))
-    placed = index.entries.where(F.size("terms") > 0).withColumn("place", F.row_number().over(of_vector.orderBy("question_id"))).where(F.col("place") <= k)
-    members, n_entries = scratch.save_counted(_once(placed.withColumn("first", F.min("question_id").over(of_vector)).drop("place"), "question_id"), F.col("question_id") == F.col("first"))
-    n_left, n_right = (max(1, -(-n // block_rows)) for n in (n_asked, n_entries))
-    some = lambda df, key, blocks: df.where((F.col(key) == F.col("first")) & (F.size("terms") > 0)).select(
-        F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), F.col(key).alias("id"), "terms", "weights"
-    )
-    left, right = some(alike, "id", n_left), some(members, "question_id", n_right)
+    placed = entries.where(F.size("terms") > 0).withColumn("_n", F.row_number().over(of_vector.orderBy("place"))).where(F.col("_n") <= k)
+    own = placed.groupBy("terms", "weights").agg(F.array_sort(F.collect_list(F.struct("place", "tag"))).alias("own"))
+    right, n_entries = scratch.save_counted(own.select("terms", "weights", F.col("own.place").alias("places"), F.col("own.tag").alias("tags")))
+    scratch.release()
+    # a task builds its part of the index anew, so entries come in large blocks; queries with the same frequent terms come together
+    n_left, n_right = max(1, -(-n_asked // (2 * block_rows))), max(1, -(-n_entries // (32 * block_rows)))
+    frequent = [i for i, idf in enumerate(index.idf.values()) if idf < 1 + np.log(FREQUENT)]
+    pattern = F.xxhash64(F.array_intersect("terms", F.lit(frequent)) if frequent else F.lit(0))
+    left = alike.where((F.col("id") == F.col("first")) & (F.size("terms") > 0)).select("id", "terms", "weights", pattern.alias("pattern"))
+    left = scratch.save(left.repartitionByRange(n_left, "pattern", "id").select(F.spark_partition_id().alias("a"), "id", "terms", "weights")) if n_left > 1 else left.select(F.lit(0).alias("a"), "id", "terms", "weights")
     each = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    left = left.select(F.col("block").alias("a"), each("b", n_right), "id", "terms", "weights")
-    right = right.select(each("a", n_left), F.col("block").alias("b"), "id", "terms", "weights")
+    left = left.select("a", each("b", n_right), "id", "terms", "weights")
+    right = right.select(each("a", n_left), F.pmod(F.xxhash64(F.col("places")[0]), F.lit(n_right)).cast("int").alias("b"), "terms", "weights", "places", "tags")
     search = _search_blocks(k, len(index.idf))
-    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(lambda x, y: search(x, y), "query long, question_id string, score double")
-    hits = met if n_right == 1 else best_per_query(met, k).drop("rank")
-    hits = scratch.save(hits.withColumnRenamed("question_id", "first"))
+    columns = ["id", "terms", "weights"], ["terms", "weights", "places", "tags"]
+    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(lambda x, y: search(x.select(columns[0]), y.select(columns[1])), f"first long, hits {_HITS}")
+    if n_right > 1:
+        order = lambda h: F.struct((-h["score"]).alias("score"), h["place"].alias("place"), h["tag"].alias("tag"))
+        both = F.slice(F.array_sort(F.transform(F.flatten(F.collect_list("hits")), order)), 1, k)
+        met = met.groupBy("first").agg(F.transform(both, order).alias("hits"))
+    met = scratch.save(met)
     scratch.release()
-    ranked = scratch.save(best_per_query(hits.join(members.select("first", "question_id"), "first").select("query", "question_id", "score"), k))
     # only lists that aren't full need entries of score 0, and only the k smallest ids of the catalogue can be among those
-    counts = ranked.groupBy("query").agg(F.max("rank").alias("n"))
-    short = alike.where("id = first").select(F.col("id").alias("query")).join(counts, "query", "left").select("query", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
-    least = index.entries.select("question_id").orderBy("question_id").limit(k)
-    zero = short.crossJoin(F.broadcast(least)).join(ranked.select("query", "question_id"), ["query", "question_id"], "left_anti")  # k rows are broadcast
-    place = F.col("n") + F.row_number().over(Window.partitionBy("query").orderBy("question_id"))
-    fill = zero.select("query", "question_id", F.lit(0.0).alias("score"), place.alias("rank")).where(F.col("rank") <= k)
-    every = scratch.save(ranked.unionByName(fill))
-    scratch.release()
-    texts = asked.join(alike.select("id", "first"), "id").select("query", "first")
-    return every.withColumnRenamed("query", "first").join(texts, "first").select("query", "question_id", "score", "rank")
+    least = entries.select("place", "tag").orderBy("place").limit(k).collect()
+    if not least:
+        return asked.select("query", F.col("id").alias("first")), met.limit(0)
+    zero = F.array(*[F.struct(F.lit(0.0).alias("score"), F.lit(r["place"]).cast("long").alias("place"), F.lit(r["tag"]).cast("long").alias("tag")) for r in least])
+    every = alike.where("id = first").select("first").join(met, "first", "left").withColumn("hits", F.coalesce("hits", F.array().cast(_HITS)))
+    fill = F.filter(zero, lambda h: ~F.array_contains("known", h["place"]))
+    filled = F.when(F.size("hits") < len(least), F.slice(F.concat("hits", fill), 1, k)).otherwise(F.col("hits"))
+    lists = every.withColumn("known", F.col("hits.place")).select("first", filled.alias("hits"))
+    return asked.join(alike.select("id", "first"), "id").select("query", "first"), lists
 
 
 def _once(rows: DataFrame, key: str) -> DataFrame:

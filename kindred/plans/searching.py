@@ -10,7 +10,6 @@ from kindred.functions.features import word_jaccard
 from kindred.functions.text import clean_text
 from kindred.operators import mining, ranking, retrieval
 from kindred.plans.texts import table
-from kindred.session import Scratch
 
 
 def _catalog(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,7 +67,7 @@ def hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
 def hard_negative_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """How many candidates each positive row has from each side."""
     pairs = table(spark, sf, "smoke_pairs").where("split = 'train'")
-    return mining.candidate_pairs(pairs, scratch=Scratch(spark)).groupBy("row", "anchor_side").agg(F.count("*").alias("n"), F.min("rank").alias("best_rank"))
+    return mining.candidate_counts(pairs)
 
 
 QUERIES = {f.__name__: f for f in (catalog_problems, qrels_problems, tfidf_topk, rerank_topk, dense_topk, ranking_metrics, hard_negatives, hard_negative_candidates)}
