@@ -1,13 +1,16 @@
 """Hard negatives: retrieval neighbours of positive pairs outside their positive component.
 
 Every positive row takes its best candidates that no earlier row has taken. This serial order is computed in rounds:
-each row proposes its best remaining candidates, a pair keeps the earliest row that ever proposed it, and entries of later rows for
-that pair are dropped. Once no proposal is refused, the proposals are the result of the serial order.
+rows choose within tasks, a pair keeps the earliest row that ever chose it, and rows that lose a pair choose anew. Once no row
+loses one, the choices are the result of the serial order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.text import clean_text
@@ -91,23 +94,70 @@ def candidate_counts(
     return found.groupBy("row", "anchor_side").agg(F.sum("n").alias("n"), F.min("rank").alias("best_rank"))
 
 
-def serial_choice(candidates: DataFrame, n: int, scratch: Scratch, max_rounds: int = 10_000) -> DataFrame:
-    """(row, lo, hi, at): each row's first ``n`` entries (at: its order) that no earlier row has taken."""
-    remaining = scratch.save(candidates.select("row", "lo", "hi", "at"))
-    best = Window.partitionBy("row").orderBy("at")
+def _choose(n: int, columns: list[str]):
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The serial choice among the rows of a partition."""
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts).combine_chunks()
+        wishes = table["wishes"].combine_chunks()
+        ends, entries = wishes.offsets.to_pylist(), wishes.values
+        lo, hi = entries.field("lo"), entries.field("hi")
+        rows = table["row"].to_pylist()
+        taken, owner, chosen = set(), [], []
+        for i in sorted(range(len(rows)), key=rows.__getitem__):
+            left = n
+            for j in range(ends[i], ends[i + 1]):
+                pair = lo[j].as_py(), hi[j].as_py()
+                if pair not in taken:
+                    taken.add(pair)
+                    owner.append(i)
+                    chosen.append(j)
+                    left -= 1
+                    if not left:
+                        break
+        found = entries.take(pa.array(chosen, pa.int64()))
+        yield pa.RecordBatch.from_arrays([table["row"].combine_chunks().take(pa.array(owner, pa.int64())), *[found.field(c) for c in columns]], ["row", *columns])
+
+    return choose
+
+
+def _serial(wishes: DataFrame, n: int, scratch: Scratch, max_rounds: int) -> DataFrame:
+    """``serial_choice`` of (row, near, wishes): arrays of (at, lo, hi), best first. Rows of one ``near`` choose in one task.
+
+    Every task lets its rows choose in their order; each pair goes to the earliest row that any task gave it to. Rows that lose a pair choose
+    anew, without the pairs of earlier rows. A row asks for a pair only after its better ones went to earlier rows, so whoever asks
+    first, the end is that of the serial order.
+    """
+    given = scratch.save(wishes)
+    kinds = dict(given.select("row", F.inline("wishes")).dtypes)
+    choose = _choose(n, ["at", "lo", "hi"])
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("row", "at", "lo", "hi"))
+    ask = lambda rows: rows.repartition("near").select("row", "wishes").mapInArrow(choose, schema)
+    held = scratch.save(ask(given))
     for _ in range(max_rounds):
-        asked = scratch.save(remaining.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= n).drop("_n"))
-        holders = asked.groupBy("lo", "hi").agg(F.min("row").alias("holder"))
-        refused = asked.join(holders, ["lo", "hi"]).where(F.col("row") > F.col("holder")).limit(1).isEmpty()
-        if refused:
-            return asked
-        following = scratch.save(remaining.join(holders, ["lo", "hi"], "left").where(F.col("holder").isNull() | (F.col("row") <= F.col("holder"))).drop("holder"))
-        scratch.drop(remaining)
-        scratch.drop(asked)
-        remaining = following
+        holders = held.groupBy("lo", "hi").agg(F.min("row").alias("holder"))
+        lost, count = scratch.save_counted(held.join(holders, ["lo", "hi"]).where(F.col("row") > F.col("holder")).select("row").distinct())
+        if not count:
+            return held
+        again = given.join(lost, "row").select("row", "near", F.posexplode("wishes").alias("_i", "w")).select("row", "near", "_i", "w.*")
+        free = again.join(holders, ["lo", "hi"], "left").where(F.col("holder").isNull() | (F.col("row") <= F.col("holder")))
+        entry = F.struct("_i", *[F.col(c) for c in ("at", "lo", "hi")])
+        rest = free.groupBy("row", "near").agg(F.array_sort(F.collect_list(entry)).alias("wishes"))
+        following = scratch.save(held.join(lost, "row", "left_anti").unionByName(ask(rest)))
+        scratch.drop(held)
+        scratch.drop(lost)
+        held = following
     raise RuntimeError("the rounds did not end")
 
 
+def serial_choice(candidates: DataFrame, n: int, scratch: Scratch, max_rounds: int = 10_000) -> DataFrame:
+    """(row, lo, hi, at): each row's first ``n`` entries (at: its order) that no earlier row has taken."""
+    wishes = candidates.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "lo", "hi"))).alias("wishes"))
+    return _serial(wishes.select("row", F.col("wishes")[0]["lo"].alias("near"), "wishes"), n, scratch, max_rounds).select("row", "lo", "hi", "at")
+
+
 def hard_negatives(
     df: DataFrame, key: str = "row_id", candidate_k: int = 50, negatives_per_positive: int = 1, max_positive_rows: int | None = None, seed: int = 42, scratch: Scratch | None = None
 ) -> DataFrame:
@@ -115,11 +165,23 @@ def hard_negatives(
     if candidate_k < 1 or negatives_per_positive < 1:
         raise ValueError("candidate_k and negatives_per_positive must be positive")
     scratch = scratch or Scratch(df.sparkSession)
-    found = candidate_pairs(df, key, candidate_k, max_positive_rows, seed, scratch).withColumns({"lo": F.least("qid1", "qid2"), "hi": F.greatest("qid1", "qid2")})
-    order = [F.desc("score"), "rank", "anchor_side", "qid1", "qid2"]
-    once = Window.partitionBy("row", "lo", "hi").orderBy(*order)  # a pair met from both anchors counts by its better entry
-    unique = found.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
-    ordered = scratch.save(unique.withColumn("at", F.row_number().over(Window.partitionBy("row").orderBy(*order))))
-    chosen = serial_choice(ordered, negatives_per_positive, scratch)
-    mined = ordered.join(chosen.select("row", "at"), ["row", "at"])
-    return mined.select("question1", "question2", F.lit(0).alias("is_duplicate"), "qid1", "qid2", F.col("row").alias("source_row"), "anchor_side", "rank", "score")
+    anchors, lists, catalog = _lists(df, key, candidate_k, max_positive_rows, seed, scratch)
+    # rows of one component choose together, those of a large one in parts
+    parts = anchors.groupBy("tag").agg(F.ceil(F.count("*") / 20_000).alias("parts"))
+    ids = anchors.select("row", "anchor_side", "first", "own", "tag").join(parts, "tag")
+    # at: (-score, rank, side) is the order, and with the anchor tells the hit
+    entry = lambda h: F.struct((-h["score"]).alias("s"), h["rank"].alias("rank"), F.col("anchor_side").alias("side"), F.col("own").alias("own"), h["place"].alias("place"))
+    asked = _eligible(ids, lists).where(F.size("found") > 0).select("row", "tag", "parts", F.transform("found", entry).alias("found"))
+    merged = asked.groupBy("row").agg(F.min("tag").alias("tag"), F.min("parts").alias("parts"), F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    wish = lambda h: F.struct(F.struct(h["rank"].alias("rank"), h["side"].alias("side"), (h["own"] > h["place"]).alias("up")).alias("at"), F.least(h["own"], h["place"]).alias("lo"), F.greatest(h["own"], h["place"]).alias("hi"))
+    near = F.xxhash64("tag", F.pmod(F.xxhash64("row"), F.col("parts")))
+    chosen = _serial(merged.select("row", near.alias("near"), F.transform("found", wish).alias("wishes")), negatives_per_positive, scratch, 10_000)
+    scratch.release()
+    own, place = F.when(F.col("at.up"), F.col("hi")).otherwise(F.col("lo")), F.when(F.col("at.up"), F.col("lo")).otherwise(F.col("hi"))
+    picked = chosen.select("row", F.col("at.rank").alias("rank"), F.col("at.side").alias("anchor_side"), own.alias("own"), place.alias("place"))
+    mined = picked.join(anchors, ["row", "anchor_side", "own"]).dropDuplicates(["row", "anchor_side", "own", "place"])
+    mined = mined.join(lists, "first").withColumn("score", F.col("hits")[F.col("rank") - 1]["score"]).drop("hits", "tag").join(catalog, "place")
+    return mined.select(
+        F.col("text").alias("question1"), F.col("question").alias("question2"), F.lit(0).alias("is_duplicate"), F.col("anchor").alias("qid1"), F.col("question_id").alias("qid2"),
+        F.col("row").alias("source_row"), "anchor_side", "rank", "score",
+    )
