@@ -38,29 +38,31 @@ def _lists(
     Ids and groups are numbers: ``own`` is the place of the anchor, ``tag`` the place of the smallest id of a component. Anchors with texts of
     equal vectors share one list, so candidates are rows only when they are asked for.
     """
+    inner = Scratch(df.sparkSession)  # what only leads to the three tables
     given = df.where("trim(qid1) <> '' and trim(qid2) <> '' and trim(question1) <> '' and trim(question2) <> '' and is_duplicate in (0, 1)")
-    rows = scratch.save(given.select(F.col(key).alias("row"), F.trim("qid1").alias("qid1"), F.trim("qid2").alias("qid2"), "question1", "question2", "is_duplicate"))
+    rows = inner.save(given.select(F.col(key).alias("row"), F.trim("qid1").alias("qid1"), F.trim("qid2").alias("qid2"), "question1", "question2", "is_duplicate"))
     texts = question_texts(rows, "row", [("qid1", "question1"), ("qid2", "question2")], clean_text).select(F.col("qid").alias("question_id"), "question")
     catalog = scratch.save(texts.orderBy("question_id").withColumn("place", F.monotonically_increasing_id()))
-    scratch.release()
+    inner.release()
     positive = rows.where("is_duplicate = 1")
     edges = positive.select(F.col("qid1").alias("src"), F.col("qid2").alias("dst"))
-    groups = connected_components(edges, catalog.select(F.col("question_id").alias("node")), scratch)
+    groups = connected_components(edges, catalog.select(F.col("question_id").alias("node")), inner)
     members = groups.select(F.col("node").alias("question_id"), "group").join(catalog.select("question_id", "place"), "question_id")
-    ids = scratch.save(members.join(catalog.select(F.col("question_id").alias("group"), F.col("place").alias("tag")), "group").select("question_id", "place", "tag"))
-    scratch.release()
-    index = fit_index(catalog, scratch=scratch)
-    entries = scratch.save(index.entries.join(ids, "question_id"))
-    scratch.drop(index.entries)
+    ids = inner.save(members.join(catalog.select(F.col("question_id").alias("group"), F.col("place").alias("tag")), "group").select("question_id", "place", "tag"))
+    inner.release()
+    index = fit_index(catalog, scratch=inner)
+    entries = inner.save(index.entries.join(ids, "question_id"))
+    inner.drop(index.entries)
     index = TfidfIndex(index.idf, entries, index.size)
-    scratch.release()
+    inner.release()
     sides = F.array(*[F.struct(F.lit(f"qid{i}").alias("anchor_side"), F.col(f"qid{i}").alias("anchor"), F.col(f"question{i}").alias("text")) for i in (1, 2)])
     anchors = sampled_rows(positive, "row", max_positive_rows, seed).select("row", F.inline(sides))
-    asked, lists = hit_lists(anchors.select(F.col("text").alias("query")), index, entries, candidate_k, BLOCK_ROWS, scratch)
+    asked, lists = hit_lists(anchors.select(F.col("text").alias("query")), index, entries, candidate_k, BLOCK_ROWS, inner)
     lists = scratch.save(lists)
     named = ids.select(F.col("question_id").alias("anchor"), F.col("place").alias("own"), "tag")
     anchors = scratch.save(anchors.join(asked.withColumnRenamed("query", "text"), "text").join(named, "anchor"))
-    scratch.release()
+    inner.release()
+    inner.close()
     return anchors, lists, catalog
 
 
