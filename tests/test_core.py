@@ -29,6 +29,13 @@ def test_clean_text(spark):
     assert got == [text.clean_str(t) for t in data] and got[:4] == ["hello world", "café", "", ""]
 
 
+def test_clean_text_of_ascii(spark):
+    """Every pair of ASCII characters, which stay in the JVM, as by the definition."""
+    data = [f"{chr(a)}{chr(b)}x{chr(b)}{chr(a)}Y" for a in range(128) for b in range(128)]
+    df = spark.createDataFrame([(t,) for t in data], "t string").select("t", text.clean_text(F.col("t")).alias("c"))
+    assert all(r["c"] == text.clean_str(r["t"]) for r in df.collect())
+
+
 def test_tokens_and_buckets(spark):
     df = spark.createDataFrame([("a b  a",), ("",), (None,)], "t string").select(text.clean_text(F.col("t")).alias("c"))
     assert [r[0] for r in df.select(text.tokens(F.col("c"))).collect()] == [["a", "b", "a"], [], []]

@@ -5,6 +5,7 @@ import os
 import random
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kindred.llm import edits, overlap
@@ -99,6 +100,45 @@ def test_word_groups_broadcast_nothing(spark):
     assert not broadcasts
 
 
+def test_near_texts_do_each_step_once(spark):
+    """A condition on clean text had every text cleaned twice, one on the similarity had the words of a pair compared again for every time it names them."""
+    plans = []
+
+    class Seen(Scratch):
+        def save(self, df):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return super().save(df)
+
+    data = [("p:1", "a b c d e"), ("p:2", "A b, c d e!"), ("p:3", "a b c d f e"), ("p:4", None), ("p:5", "?"), ("p:6", "x y")]
+    found = edits.near_texts(spark.createDataFrame(data, "rec string, text string"), scratch=Seen(spark)).collect()
+    assert [(r["a"], r["b"], round(r["similarity"], 4)) for r in found] == [("p:1", "p:3", 0.8333)]
+    assert sum(p.count("regexp_replace(") for p in plans) == 1
+    assert sum(p.count("array_intersect(") for p in plans) <= 1
+
+
+def test_key_counts_are_summed_up_in_their_task(spark):
+    """Every key left its task to be counted; now only counters do."""
+    sets = spark.createDataFrame([(i, "\t".join(f"w{j}" for j in range(i % 9, i % 9 + 3 + i % 5))) for i in range(300)], "set_id long, shingles string").repartition(3)
+    how = edits.Partitions(0.7, {"w2": "w1"})
+    want = np.zeros(edits.COUNTERS, dtype=np.float32)
+    for r in edits.index_keys(sets, how).collect():
+        want[r["probe"] & (edits.COUNTERS - 1)] += 1
+    got = edits.key_counts(sets, how)
+    assert got.dtype == want.dtype and (got == want).all() and want.sum() > 1000
+
+
+def test_similar_pairs_are_those_of_brute_force(spark):
+    rnd = random.Random(8)
+    words = [sorted(rnd.sample([f"w{i}" for i in range(14)], rnd.randrange(1, 12))) for _ in range(60)]
+    sets = edits.sketched(spark.createDataFrame([(i, "\t".join(w)) for i, w in enumerate(words)], "set_id long, shingles string"))
+    every = [(i, j) for i in range(60) for j in range(i)]
+    similarity = {(i, j): len({*words[i]} & {*words[j]}) / len({*words[i]} | {*words[j]}) for i, j in every}
+    for threshold in (0.25, 0.5, 0.75):
+        got = edits.similar_pairs(spark.createDataFrame(every, "a long, b long"), sets, threshold).collect()
+        want = {p: s for p, s in similarity.items() if s >= threshold - 1e-9}
+        assert {(r["a"], r["b"]): r["similarity"] for r in got} == want and want
+
+
 def test_overlaps_leave_two_tables(spark):
     """What later steps don't read is dropped on the way."""
     scratch = Scratch(spark)
