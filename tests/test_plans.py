@@ -6,6 +6,8 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from kindred.llm import edits, overlap
@@ -121,7 +123,7 @@ def test_key_counts_are_summed_up_in_their_task(spark):
     sets = spark.createDataFrame([(i, "\t".join(f"w{j}" for j in range(i % 9, i % 9 + 3 + i % 5))) for i in range(300)], "set_id long, shingles string").repartition(3)
     how = edits.Partitions(0.7, {"w2": "w1"})
     want = np.zeros(edits.COUNTERS, dtype=np.float32)
-    for r in edits.index_keys(sets, how).collect():
+    for r in edits.all_keys(sets, how, want.copy()).where("set_id >= 0").collect():
         want[r["probe"] & (edits.COUNTERS - 1)] += 1
     got = edits.key_counts(sets, how)
     assert got.dtype == want.dtype and (got == want).all() and want.sum() > 1000
@@ -139,6 +141,34 @@ def test_similar_pairs_are_those_of_brute_force(spark):
         assert {(r["a"], r["b"]): r["similarity"] for r in got} == want and want
 
 
+@pytest.mark.parametrize("chunk, block", [(1 << 18, 1 << 17), (40, 64), (40, 1 << 17)])
+def test_meetings_are_those_of_brute_force(monkeypatch, chunk, block):
+    """Hot keys in blocks, cold ones in slices; pieces cut no key."""
+    monkeypatch.setattr(edits, "CHUNK", chunk)
+    monkeypatch.setattr(edits, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    n, low = 900, (1 << edits.SKETCH_BITS) - 1
+    probe = np.sort(np.r_[rng.integers(-9, 9, n - 200), np.full(120, 4), rng.integers(100, 999, 80)])
+    ids = rng.integers(0, 150, n) * rng.choice([1, -1], n)
+    ids = np.where(rng.random(n) < 0.5, np.abs(ids), ~np.abs(ids))
+    size = rng.choice([1, 4, 5, 6, 7, 8, 90, edits.LARGEST], n)
+    sketch = lambda: np.bitwise_xor.reduce(np.left_shift(np.int64(1), rng.integers(0, 9, (2, n))), axis=0)
+    info, more = (size.astype(np.uint64) << np.uint64(edits.SKETCH_BITS)).view(np.int64) | sketch(), sketch()
+    want = set()
+    for x in np.flatnonzero(ids < 0):
+        for y in np.flatnonzero((ids >= 0) & (probe == probe[x])):
+            bits = max(((int(info[x]) ^ int(info[y])) & low).bit_count(), (int(more[x]) ^ int(more[y])).bit_count())
+            tau = (size[x] + size[y]) * 0.3 / 1.7 + 1e-9
+            if ~ids[x] != ids[y] and size[x] >= size[y] and (size[x] >= edits.LARGEST or bits <= tau >= size[x] - size[y]):
+                want.add((int(~ids[x]), int(ids[y])))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 7]) for c in (probe, ids, info, more)], ["probe", "set_id", "info", "more"]) for i in range(0, n, 7)]
+    pieces = list(edits._whole_keys(iter(batches)))
+    assert np.concatenate([p[0] for p in pieces]).tolist() == probe.tolist() and all(p[0][-1] != q[0][0] for p, q in zip(pieces, pieces[1:]))
+    assert (len(pieces) > 3) == (chunk < n)
+    assert {(int(a), int(b)) for p in pieces for found in edits._meetings(*p, 0.3 / 1.7) for a, b in zip(*found)} == want and len(want) > 500
+    assert not list(edits._whole_keys(iter([])))
+
+
 def test_overlaps_leave_two_tables(spark):
     """What later steps don't read is dropped on the way."""
     scratch = Scratch(spark)
